@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Smallest standard deviation of each transformed statistic; keeps a group whose
 #: values hardly differ (no symbols at all, say) from rejecting every small departure.
-FLOORS = {"x_len": 0.05, "x_sym": 0.05, "x_cap": 0.05, "x_dup": 0.10, "x_rep": 0.10}
+FLOORS = {"x_len": 0.05, "x_sym": 0.05, "x_cap": 0.05, "x_dup": 0.15, "x_rep": 0.12}
 WINDOW = 5
 
 
@@ -182,7 +182,7 @@ def score_quality(
     keys: tuple[str, str] = ("lang", "source"),
     min_group: int = 30,
     tail: float = 1e-6,
-    full_weight_words: int = 200,
+    full_weight_words: int = 100,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, counts, base_failed, distance and kept.
 
