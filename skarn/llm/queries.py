@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .packing import op5_vector_packing
+from .planes import op10_plane_files
 from .quality import op2_robust_outliers
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers,)}
+QUERIES = {f.__name__: f for f in (op2_robust_outliers, op5_vector_packing, op10_plane_files)}
 
 ORACLE_SQL: dict[str, str] = {}
