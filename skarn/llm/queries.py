@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .archive import OP9_SQL, op9_arc_to_warc
+from .html import op3_site_templates
 from .linededup import OP8_SQL, op8_reversible_lines
 from .neardup import op6_bottom_k_near_dups
 from .packing import op5_vector_packing
 from .planes import op10_plane_files
 from .quality import op2_robust_outliers
 
-QUERIES = {f.__name__: f for f in (op2_robust_outliers, op5_vector_packing, op6_bottom_k_near_dups, op8_reversible_lines, op9_arc_to_warc, op10_plane_files)}
+QUERIES = {f.__name__: f for f in (op2_robust_outliers, op3_site_templates, op5_vector_packing, op6_bottom_k_near_dups, op8_reversible_lines, op9_arc_to_warc, op10_plane_files)}
 
 ORACLE_SQL: dict[str, str] = {"op8_reversible_lines": OP8_SQL, "op9_arc_to_warc": OP9_SQL}
