@@ -5,6 +5,7 @@ Each entry takes the arguments as Spark SQL text and returns Spark SQL text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 
@@ -76,7 +77,10 @@ def unit(u: str) -> str:
 
 
 def timestampadd(u: str, n: str, t: str) -> str:
-    return f"timestampadd({unit(u)}, {n}, {t})"
+    """A DATE stays one for whole days and more, where it shows as such."""
+    out = f"timestampadd({unit(u)}, {n}, {t})"
+    is_date = re.match(r"(?i)(DATE\s*'|current_date\b|CAST\(.* AS DATE\)$)", t)
+    return f"CAST({out} AS DATE)" if is_date and unit(u) in ("DAY", "WEEK", "MONTH", "QUARTER", "YEAR") else out
 
 
 def timestampdiff(u: str, a: str, b: str) -> str:

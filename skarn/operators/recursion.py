@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def iterate(spark: SparkSession, seed: DataFrame, steps: list[Callable[[], DataFrame]], delta_view: str, distinct: bool, folder: str, max_rounds: int = 100_000) -> DataFrame:
@@ -16,7 +18,7 @@ def iterate(spark: SparkSession, seed: DataFrame, steps: list[Callable[[], DataF
     executor costs no earlier round.
     """
     root = f"{folder.rstrip('/')}/recursion-{uuid.uuid4().hex[:12]}"
-    schema = seed.schema
+    schema = StructType([StructField(f.name, f.dataType) for f in seed.schema])
     k = 0
 
     def keep(df: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def iterate(spark: SparkSession, seed: DataFrame, steps: list[Callable[[], DataF
         new = steps[0]()
         for s in steps[1:]:
             new = new.union(s())
-        new = new.toDF(*schema.names).to(schema) if new.schema != schema else new
+        new = new.toDF(*schema.names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
         if distinct:
             new = new.distinct().exceptAll(spark.read.schema(schema).parquet(f"{root}/*"))
         delta = keep(new)
