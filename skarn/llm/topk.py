@@ -125,7 +125,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables have (vec_id, vector) with a vector of integral doubles or null; null
     ids and vectors take no part, nor do pairs of different lengths or a row with
-    itself. Vectors are gathered in blocks; every query block meets every candidate
+    itself. Empty vectors are vectors of
+    length 0. Vectors are gathered in blocks; every query block meets every candidate
     block of its length, so the pairs that Spark sees are pairs of blocks. Rows
     that repeat are separate candidates. Components too large for exact sums are an error.
     """
@@ -142,10 +143,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         for batch in slices(batches, 1):
             dim = batch.column(0)[0].as_py()
             get = lambda i, kind: np.frombuffer(batch.column(i)[0].as_py(), kind)  # noqa: E731, B023
-            qs, cs = get(2, "<f8").reshape(-1, dim), get(4, "<f8").reshape(-1, dim)
+            q_ids, c_ids = get(1, "<i8"), get(3, "<i8")
+            qs, cs = get(2, "<f8").reshape(len(q_ids), dim), get(4, "<f8").reshape(len(c_ids), dim)
             if dim * max(1.0, np.abs(qs).max(initial=0)) * max(1.0, np.abs(cs).max(initial=0)) >= EXACT:
                 raise ValueError("components are too large for exact sums")
-            rows = search_block(qs, get(1, "<i8"), VerticalBlock(get(3, "<i8"), cs), k)
+            rows = search_block(qs, q_ids, VerticalBlock(c_ids, cs), k)
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
