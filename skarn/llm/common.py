@@ -35,10 +35,10 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
             base = tempfile.mkdtemp(prefix="skarn-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            spark.sparkContext.setCheckpointDir(base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/skarn/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
