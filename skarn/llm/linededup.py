@@ -225,7 +225,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text:
     that repeat a document's id are one document, each row losing the same lines.
     """
     gone = index.doomed().select(F.col("doc").alias("_doc"), F.transform("keys", lambda k: k["hi"]).alias("_hi"), F.transform("keys", lambda k: k["lo"]).alias("_lo"))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(gone, docs[id_col].cast("long") == gone["_doc"], "left").drop(gone["_doc"])
     min_chars = index.min_chars
     at = docs.columns.index(text)
     added = pa.schema([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_text", pa.string())])
