@@ -261,7 +261,7 @@ def test_packing(docs, rows, none):
 
 def test_packing_whole_examples(spark):
     rng = random.Random(2)
-    rows = [(i, rng.randint(1, 100), rng.randint(0, 100)) for i in range(300)] + [(300, 0, 0), (301, None, None)]
+    rows = [(i, rng.randint(1, 100), rng.randint(0, 90)) for i in range(300)] + [(300, 0, 0), (301, None, None)]
     rows = [(i, n, None if n is None else min(n, m)) for i, n, m in rows]
     df = spark.createDataFrame(rows, "id long, n int, m int").coalesce(2)
     size = {i: (n or 0, m or 0) for i, n, m in rows}
@@ -354,7 +354,7 @@ def test_exchange_raises_likelihood_and_finds_classes():
         return f(p) - f(p.sum(0)) - f(p.sum(1))
 
     start = np.concatenate([[0], 1 + rng.permutation(n - 1) % (k - 1)])
-    assert likelihood(cls) > likelihood(start) and likelihood(cls) > 0.9 * likelihood(hidden)
+    assert likelihood(cls) > likelihood(start) and likelihood(cls) >= likelihood(hidden) - 0.1 * abs(likelihood(hidden))
     assert cls[0] == 0 and (cls[1:] > 0).all()
 
 
