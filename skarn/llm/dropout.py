@@ -26,6 +26,11 @@ from .common import slices, table
 
 BLANK = "▁"
 M64 = (1 << 64) - 1
+NEVER = float("inf")
+#: Marks that follow words.
+MARKS = ".,;:!?#*$%&|"
+#: Stretches up to this length keep their agenda as a list.
+SHORT = 24
 
 
 class DropoutEncoder:
@@ -50,6 +55,8 @@ class DropoutEncoder:
         self.scores = {names[i]: -sp.get_score(i) for i in plain}  # least first
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids):
             raise ValueError("pieces reach across blanks")
+        #: Letters that stand next to each other in a piece; no piece reaches across others.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.values = [b""] * n
         for i in plain:
             self.values[i] = names[i].replace(BLANK, " ").encode()
@@ -63,9 +70,14 @@ class DropoutEncoder:
 
     def segment(self, unit: str, variant: int) -> list[int]:
         """Ids of a stretch; blanks are the blank sign here."""
+        n = len(unit)
+        if n == 1:
+            i = self.ids.get(unit)
+            return [i] if i is not None else [self.bytes[b] for b in unit.encode("utf-8", "surrogatepass")]
+        if n <= SHORT:
+            return self._segment_short(unit, variant)
         scores, push, pop = self.scores, heapq.heappush, heapq.heappop
         sym: list[str | None] = list(unit)
-        n = len(sym)
         prev, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(s, i, i + 1, p) for i in range(n - 1) if (s := scores.get(p := unit[i : i + 2])) is not None]
         heapq.heapify(agenda)
@@ -76,9 +88,7 @@ class DropoutEncoder:
             if a is None or b is None or len(a) + len(b) != len(piece) or after[i] != j:
                 continue  # one of its parts was merged meanwhile
             if self.threshold:
-                h = (key ^ (i << 32 | j + len(b))) * 0x9E3779B97F4A7C15 & M64
-                h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & M64
-                if h >> 32 < self.threshold:
+                if (key * (2 * ((j + len(b)) * 1021 + i) + 1) & M64) >> 32 < self.threshold:
                     continue
             sym[i], sym[j] = piece, None
             k = after[i] = after[j]
@@ -92,17 +102,60 @@ class DropoutEncoder:
                 new = sym[k] + piece
                 if (s := scores.get(new)) is not None:
                     push(agenda, (s, k, i, new))
+        return self._ids([x for x in sym if x is not None])
+
+    def _ids(self, symbols: list[str]) -> list[int]:
+        try:
+            return [self.ids[x] for x in symbols]
+        except KeyError:
+            return [i for x in symbols for i in ([self.ids[x]] if x in self.ids else [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")])]
+
+    def _segment_short(self, unit: str, variant: int) -> list[int]:
+        """The same agenda as a list of pair scores, which is faster to search than a heap to keep for a few letters."""
+        get, threshold = self.scores.get, self.threshold
+        sym = list(unit)
+        agenda = [get(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)]
+        best = min(agenda)
+        if best == NEVER:
+            return self._ids(sym)
+        at = list(range(len(unit) + 1))  # where each symbol starts
+        key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * 0x9E3779B1 + variant & M64) if threshold else 0
+        while best != NEVER:
+            i = agenda.index(best)
+            if threshold and (key * (2 * (at[i + 2] * 1021 + at[i]) + 1) & M64) >> 32 < threshold:
+                agenda[i] = NEVER
+            else:
+                piece = sym[i] = sym[i] + sym[i + 1]
+                del sym[i + 1], at[i + 1], agenda[i]
+                if i < len(agenda):
+                    agenda[i] = get(piece + sym[i + 1], NEVER)
+                if i:
+                    agenda[i - 1] = get(sym[i - 1] + piece, NEVER)
+                if not agenda:
+                    break
+            best = min(agenda)
+        return self._ids(sym)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _stretches(self, unit: str, variant: int, kept: dict[str, bytes]) -> bytes:
+        """A unit's ids. Marks after a word are a stretch of their own where no piece joins them to it."""
+        body = unit.rstrip(MARKS)
+        if not body or len(body) == len(unit) or body[-1] + unit[len(body)] in self.joined:
+            return self._pack(self.segment(unit, variant))
         out = []
-        for x in sym:
-            if x is not None:
-                i = self.ids.get(x)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out += [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")]
-        return out
+        for x in (body, unit[len(body) :]):
+            ids = kept.get(x)
+            if ids is None:
+                ids = kept[x] = self._pack(self.segment(x, variant))
+                self.size += 1
+            out.append(ids)
+        return b"".join(out)
 
     def _units(self, text: str) -> list[str]:
+        if "\n" in text and not (BLANK in text or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "):
+            return self._lines(text)
         if "\n" in text or BLANK in text or "  " in text or text[0] == " " or text[-1] == " ":
             units = []
             for part in re.split(f"(\n|{BLANK})", BLANK.join(["", *text.split(" ")]) if BLANK not in text else " " + text):
@@ -128,6 +181,21 @@ class DropoutEncoder:
             return [*out, run] if run else out
         return [BLANK + w for w in text.split(" ")]
 
+    @staticmethod
+    def _lines(text: str) -> list[str]:
+        """Units of a text whose blanks all stand between two words of a line."""
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if k:
+                out.append("\n")
+                if words[0]:
+                    out.append(words[0])
+            else:
+                out.append(BLANK + words[0])
+            out += [BLANK + w for w in words[1:]]
+        return out
+
     def encode(self, text: str, key: object) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
@@ -144,8 +212,7 @@ class DropoutEncoder:
             self.size = 0
         for u in units:
             if u not in kept:
-                ids = [self.bytes[b] for b in BLANK.encode()] if u == "\0sign" else self.segment(u, variant)
-                kept[u] = np.array(ids, self.dtype).tobytes()
+                kept[u] = self._pack([self.bytes[b] for b in BLANK.encode()]) if u == "\0sign" else self._stretches(u, variant, kept)
                 self.size += 1
         return np.frombuffer(b"".join([kept[u] for u in units]), self.dtype)
 
