@@ -12,8 +12,11 @@ decide. What keeps this linear where texts repeat:
   for texts that consist of little else.
 * A list's members are first compared with its most central member alone (the
   one whose values are the most common, as an original among its edited copies).
-  Only members of different components, each against those outside its own, are
-  compared afterwards. No pair between components stays unchecked.
+  Afterwards members meet the other components of their lists: hashes that a single
+  open set has bound its overlap with any other, which rules out heavily edited
+  copies of one original, whose sketches still look alike; what remains is compared
+  in full with all members of the component, block against block. No pair between
+  components stays unchecked.
 
 m is chosen so that a pair at the threshold misses it with probability below
 1e-9 (the shared values of two bottom-k sketches are at least binomial).
@@ -114,6 +117,46 @@ def _close(a: Column, b: Column, low: float) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) >= F.floor(low * F.size(union))
 
 
+def _blocks(rows: DataFrame, sets: DataFrame, side: str, hashes: int = 200_000) -> DataFrame:
+    """(root, ids, sizes, hashes): the full sets of the rows (rep, root) of each root, in blocks of about so many hashes."""
+    full = rows.join(sets.withColumnRenamed("doc", "rep"), "rep").select("root", "rep", "hashes")
+    count = full.groupBy("root").agg(F.sum(F.size("hashes")).alias("total"))
+    dealt = full.join(count, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / hashes)))
+    each = dealt.groupBy("root", "block").agg(F.collect_list(F.struct("rep", "hashes")).alias("m"))
+    return each.select(
+        "root",
+        F.transform("m", lambda e: e["rep"]).alias(f"{side}_ids"),
+        F.transform("m", lambda e: F.size(e["hashes"])).alias(f"{side}_sizes"),
+        F.flatten(F.transform("m", lambda e: e["hashes"])).alias(f"{side}_hashes"),
+    )
+
+
+def _links_between(xs: DataFrame, ys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of the sets that stand in blocks under the same root, the pairs that are close enough, all compared in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            take = lambda k: batch.column(k).flatten().to_numpy()  # noqa: E731, B023
+            x_ids, x_sizes, x_hashes, y_ids, y_sizes, y_hashes = (take(k) for k in range(6))
+            order = np.argsort(y_hashes, kind="stable")
+            sorted_, owner = y_hashes[order], np.repeat(np.arange(len(y_ids)), y_sizes)[order]
+            at, out = 0, []
+            for i, n in zip(x_ids.tolist(), x_sizes.tolist(), strict=True):
+                h = x_hashes[at : at + n]
+                at += n
+                lo, hi = np.searchsorted(sorted_, h, "left"), np.searchsorted(sorted_, h, "right")
+                span = hi - lo
+                places = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+                inter = np.bincount(owner[places], minlength=len(y_ids))
+                close = np.flatnonzero((100 * inter >= percent * (n + y_sizes - inter)) & (inter > 0))
+                out += [(i, int(j)) for j in y_ids[close]]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    both = xs.join(ys, "root").select("x_ids", "x_sizes", "x_hashes", "y_ids", "y_sizes", "y_hashes")
+    return both.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -147,49 +190,61 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     )
     listed = scratch.write(listed, "listed", "lz4_raw")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def full_sets(ids: DataFrame, name: str) -> DataFrame:
+        return scratch.write(_full_sets(own.join(ids, "doc", "left_semi"), size), name, "lz4_raw")
+
+    def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b), those whose full sets are close enough."""
-        pairs = scratch.write(pairs, f"{name}_pairs")
-        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        sets = scratch.write(_full_sets(own.join(ids, "doc", "left_semi"), size), f"{name}_sets", "lz4_raw")
         left, right = sets.toDF("a", "ha"), sets.toDF("b", "hb")
         both = pairs.join(right, "b").join(left, "a")
         inter = F.size(F.array_intersect("ha", "hb"))
         good = both.where(100 * inter >= percent * (F.size("ha") + F.size("hb") - inter)).select("a", "b")
-        good = scratch.write(good, f"{name}_links")
-        scratch.drop(f"{name}_sets")
-        return good
+        return scratch.write(good, name)
 
     sk = reps.select("rep", "sketch")
     centres = listed.groupBy("v").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"), F.count("*").alias("s")).where("s > 1").select("v", "a")
     stars = listed.join(centres, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     stars = stars.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_close(F.col("sa"), F.col("sb"), low)).select("a", "b")
-    links = verified(stars, "star")
+    stars = scratch.write(stars, "star_pairs")
+    ids = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
+    links = verified(stars, full_sets(ids, "star_sets"), "star_links")
+    scratch.drop("star_sets")
     comp = scratch.write(components(links, scratch, "first"), "comp1")
 
     rooted = listed.select("rep", "n", "v").join(comp.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = scratch.write(rooted, "rooted", "lz4_raw")
     sizes = rooted.groupBy("v", "root").agg(F.count("*").alias("s"))
     mixed = sizes.groupBy("v").agg(F.max_by("root", F.struct("s", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1").select("v", "big")
-    open_ = scratch.write(rooted.join(mixed, "v").join(sk, "rep"), "open", "lz4_raw")
-    x, y = open_.where("root <> big").alias("x"), open_.alias("y")
-    outside = (
+    open_ = scratch.write(rooted.join(mixed, "v"), "open", "lz4_raw")
+    # a hash that only one open set has is in no overlap between them: this bounds overlaps before any pair is formed
+    sets = full_sets(open_.select(F.col("rep").alias("doc")).distinct(), "open_sets")
+    alone = sets.select("doc", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("s"), F.min("doc").alias("rep")).where("s = 1")
+    alone = scratch.write(alone.groupBy("rep").agg(F.count("*").alias("u")), "alone")
+    able = open_.join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
+    able = scratch.write(able.select("v", "rep", "n", "most", "root", "big"), "able", "lz4_raw")
+    # which members could link to which other component of a list: by the component's bounds, so a row a component and not a row a member
+    bounds = able.groupBy("v", "root").agg(F.max("most").alias("most"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.first("big").alias("big"))
+    x, y = able.where("root <> big").alias("x"), bounds.alias("y")
+    could = (
         (F.col("x.v") == F.col("y.v"))
         & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.big")) | (F.col("x.rep") < F.col("y.rep")))
-        & (100 * F.least(F.col("x.n"), F.col("y.n")) >= percent * F.greatest(F.col("x.n"), F.col("y.n")))
-        & _close(F.col("x.sketch"), F.col("y.sketch"), low)
+        & ((F.col("y.root") == F.col("y.big")) | (F.col("x.root") < F.col("y.root")))
+        & ((100 + percent) * F.least(F.col("x.most"), F.col("y.most")) >= percent * (F.col("x.n") + F.col("y.n0")))
+        & (100 * F.least(F.col("x.n"), F.col("y.n1")) >= percent * F.greatest(F.col("x.n"), F.col("y.n0")))
     )
-    cross = x.join(y, outside).select(F.least(F.col("x.rep"), F.col("y.rep")).alias("a"), F.greatest(F.col("x.rep"), F.col("y.rep")).alias("b")).distinct()
-    done = scratch.spark.read.parquet(scratch.path("star_pairs")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(cross.join(done, ["a", "b"], "left_anti"), "cross")
-    # what the second round links: components of components
-    root = comp.toDF("rep", "root")
-    up = lambda df, c: df.join(root.withColumnRenamed("rep", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
-    again = components(up(up(more, "a"), "b"), scratch, "second").toDF("root", "top")
-    final = comp.toDF("rep", "root").join(again, "root", "left").select("rep", F.coalesce("top", "root").alias("top"))
-    lone = again.toDF("rep", "top").join(comp.select(F.col("node").alias("rep")), "rep", "left_anti")
-    final = scratch.write(final.union(lone), "final")
+    asked = scratch.write(x.join(y, could).select(F.col("x.rep").alias("rep"), F.col("y.root").alias("root")).distinct(), "asked")
+    wanted = asked.select("root").distinct()
+    members = able.select("rep", "root").distinct().join(wanted, "root")
+    more = scratch.write(_links_between(_blocks(asked, sets, "x"), _blocks(members, sets, "y"), percent), "cross_links")
+    scratch.drop("open_sets")
+    final = comp.toDF("rep", "top")
+    if not more.isEmpty():  # what the second round links: components of components
+        root = comp.toDF("rep", "root")
+        up = lambda df, c: df.join(root.withColumnRenamed("rep", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        again = components(up(up(more, "a"), "b"), scratch, "second").toDF("root", "top")
+        merged = root.join(again, "root", "left").select("rep", F.coalesce("top", "root").alias("top"))
+        lone = again.toDF("rep", "top").join(comp.select(F.col("node").alias("rep")), "rep", "left_anti")
+        final = scratch.write(merged.union(lone), "final")
 
     named = reps.select("fp1", "fp2", "n", "rep").join(final, "rep", "left").select("fp1", "fp2", "n", F.coalesce("top", "rep").alias("component"))
     out = every.select("doc", "n", "fp1", "fp2").join(named, ["fp1", "fp2", "n"], "left")
