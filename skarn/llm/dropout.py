@@ -1,19 +1,22 @@
 """SentencePiece BPE encoding with seeded merge dropout, and decoding.
 
 A merge type's agenda is processed best score first, leftmost first among equals.
-Each candidate that comes up is skipped for good if a hash keyed by seed, variant,
-stretch of text and place falls below the dropout rate. So a run with the same seed gives
-the same pieces anywhere, another variant gives others, and all decode to the text.
+Each candidate that comes up is skipped for good with the dropout rate's probability,
+by hashes keyed by seed, document id and the place of its unit in the text. So each
+occurrence of a word is cut by draws of its own, a run with the same seed gives the
+same pieces anywhere, and all decode to the text. What is drawn is how many candidates
+pass until the next skip, which is the same as a draw for each one.
 Texts are cut where no piece can reach across (before a run of blanks, around
-newlines); the pieces of a stretch are kept and reused within a worker.
+newlines). Within a worker the pieces of a stretch are kept for the skips drawn,
+so that drawing the same ones again needs no agenda.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,19 +32,23 @@ M64 = (1 << 64) - 1
 NEVER = float("inf")
 #: Marks that follow words.
 MARKS = ".,;:!?#*$%&|"
-#: Stretches up to this length keep their agenda as a list.
+#: Stretches up to this length keep their agenda as a list, and their pieces for up to so many skips.
 SHORT = 24
+KEPT_SKIPS = 3
+#: Longest gap between two skips that one hash draws; a longer one takes several.
+LONGEST = 1024
+GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 class DropoutEncoder:
     """Pieces of a merge-type (BPE) model with byte fallback.
 
-    ``rate`` 0 gives the library's own segmentation. Texts vary by ``variants``
-    keys, chosen by ``key``. A blank sign in the text itself is spelled in bytes,
+    ``rate`` 0 gives the library's own segmentation. Draws follow from ``seed``, a
+    text's ``key`` and the place in the text. A blank sign in the text itself is spelled in bytes,
     so that decoding restores it.
     """
 
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, variants: int = 2, limit: int = 800_000) -> None:
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, limit: int = 800_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,33 +70,61 @@ class DropoutEncoder:
         for b, i in self.bytes.items():
             self.values[i] = bytes([b])
         self.dtype = "<u2" if n <= 1 << 16 else "<u4"
-        self.threshold = int(rate * 2**32)
-        self.seed, self.variants, self.limit = seed, variants, limit
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.size = 0
+        self.rate, self.seed, self.limit = rate, seed, limit
+        #: Chances that at least 1, 2, ... candidates pass before a skip, in 2**-64, least first.
+        self.passing = np.array([min(int((1 - rate) ** k * 2**64), M64) for k in range(LONGEST, 0, -1)], np.uint64)
+        #: By stretch, or stretch and gaps drawn: number of candidates that come up if no further one is skipped, and ids.
+        self.kept: dict[str | tuple, tuple[int, bytes]] = {}
 
-    def segment(self, unit: str, variant: int) -> list[int]:
-        """Ids of a stretch; blanks are the blank sign here."""
+    def gaps(self, text: int, n: int) -> list[float]:
+        """Each unit's first gap: how many candidates pass before the first skip."""
+        if not self.rate:
+            return [NEVER] * n
+        x = np.uint64(text) + (np.arange(n, dtype=np.uint64) << np.uint64(24)) * np.uint64(GOLDEN)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
+        out = (LONGEST - np.searchsorted(self.passing, x ^ (x >> np.uint64(31)), "right")).tolist()
+        if max(out) == LONGEST:
+            out = [next(self.more(text, p, 0)) if g == LONGEST else g for p, g in enumerate(out)]
+        return out
+
+    def more(self, text: int, place: int, draw: int = 1) -> Iterator[float]:
+        """The gaps of the unit at a place, from a draw on."""
+        gap = 0
+        while True:
+            x = text + (place << 24 | draw) * GOLDEN & M64
+            x = (x ^ (x >> 30)) * MIX1 & M64
+            x = (x ^ (x >> 27)) * MIX2 & M64
+            drawn = LONGEST - int(np.searchsorted(self.passing, np.uint64(x ^ (x >> 31)), "right"))
+            draw += 1
+            gap += drawn
+            if drawn < LONGEST:
+                yield gap
+                gap = 0
+
+    def segment(self, unit: str, gaps: Iterator[float]) -> tuple[list[int], int, float]:
+        """Ids of a stretch, how many candidates came up, and what is left of the last gap; blanks are the blank sign here."""
         n = len(unit)
+        left, came = next(gaps), 0
         if n == 1:
-            i = self.ids.get(unit)
-            return [i] if i is not None else [self.bytes[b] for b in unit.encode("utf-8", "surrogatepass")]
+            return self._ids([unit]), came, left
         if n <= SHORT:
-            return self._segment_short(unit, variant)
+            return self._segment_short(unit, left, gaps)
         scores, push, pop = self.scores, heapq.heappush, heapq.heappop
         sym: list[str | None] = list(unit)
         prev, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(s, i, i + 1, p) for i in range(n - 1) if (s := scores.get(p := unit[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * 0x9E3779B1 + variant & M64) if self.threshold else 0
         while agenda:
             _, i, j, piece = pop(agenda)
             a, b = sym[i], sym[j]
             if a is None or b is None or len(a) + len(b) != len(piece) or after[i] != j:
                 continue  # one of its parts was merged meanwhile
-            if self.threshold:
-                if (key * (2 * ((j + len(b)) * 1021 + i) + 1) & M64) >> 32 < self.threshold:
-                    continue
+            came += 1
+            if not left:
+                left = next(gaps)
+                continue
+            left -= 1
             sym[i], sym[j] = piece, None
             k = after[i] = after[j]
             if k < n:
@@ -102,7 +137,7 @@ class DropoutEncoder:
                 new = sym[k] + piece
                 if (s := scores.get(new)) is not None:
                     push(agenda, (s, k, i, new))
-        return self._ids([x for x in sym if x is not None])
+        return self._ids([x for x in sym if x is not None]), came, left
 
     def _ids(self, symbols: list[str]) -> list[int]:
         try:
@@ -110,23 +145,22 @@ class DropoutEncoder:
         except KeyError:
             return [i for x in symbols for i in ([self.ids[x]] if x in self.ids else [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")])]
 
-    def _segment_short(self, unit: str, variant: int) -> list[int]:
+    def _segment_short(self, unit: str, left: float, gaps: Iterator[float]) -> tuple[list[int], int, float]:
         """The same agenda as a list of pair scores, which is faster to search than a heap to keep for a few letters."""
-        get, threshold = self.scores.get, self.threshold
+        get, came = self.scores.get, 0
         sym = list(unit)
         agenda = [get(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)]
         best = min(agenda)
-        if best == NEVER:
-            return self._ids(sym)
-        at = list(range(len(unit) + 1))  # where each symbol starts
-        key = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * 0x9E3779B1 + variant & M64) if threshold else 0
         while best != NEVER:
             i = agenda.index(best)
-            if threshold and (key * (2 * (at[i + 2] * 1021 + at[i]) + 1) & M64) >> 32 < threshold:
+            came += 1
+            if not left:
+                left = next(gaps)
                 agenda[i] = NEVER
             else:
+                left -= 1
                 piece = sym[i] = sym[i] + sym[i + 1]
-                del sym[i + 1], at[i + 1], agenda[i]
+                del sym[i + 1], agenda[i]
                 if i < len(agenda):
                     agenda[i] = get(piece + sym[i + 1], NEVER)
                 if i:
@@ -134,24 +168,52 @@ class DropoutEncoder:
                 if not agenda:
                     break
             best = min(agenda)
-        return self._ids(sym)
+        return self._ids(sym), came, left
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _stretches(self, unit: str, variant: int, kept: dict[str, bytes]) -> bytes:
-        """A unit's ids. Marks after a word are a stretch of their own where no piece joins them to it."""
+    def _plain(self, key: str | tuple, stretch: str, *gaps: int) -> tuple[int, bytes]:
+        """A stretch with the skips of the gaps and no more, kept under a key."""
+        ids, came, _ = self.segment(stretch, iter((*gaps, NEVER)))
+        found = self.kept[key] = came, self._pack(ids)
+        return found
+
+    def _drawn(self, stretch: str, gap: float, more: Iterator[float]) -> tuple[bytes, float]:
+        """A stretch's ids by its gaps, and what is left of the last one, as nothing is known yet of what follows."""
+        came, ids = self.kept.get(stretch) or self._plain(stretch, stretch)
+        if gap >= came:
+            return ids, gap - came
+        path, at = (stretch,), 0
+        while len(path) <= KEPT_SKIPS and len(stretch) <= SHORT:
+            path += (gap,)
+            at += gap + 1
+            came, ids = self.kept.get(path) or self._plain(path, stretch, *path[1:])
+            gap = next(more)
+            if gap >= came - at:
+                return ids, gap - (came - at)
+        found, _, left = self.segment(stretch, chain(path[1:], (gap,), more))
+        return self._pack(found), left
+
+    def _parts(self, unit: str) -> tuple[str, ...]:
+        """A unit's stretches. Marks after a word are one of their own where no piece joins them to it."""
         body = unit.rstrip(MARKS)
         if not body or len(body) == len(unit) or body[-1] + unit[len(body)] in self.joined:
-            return self._pack(self.segment(unit, variant))
-        out = []
-        for x in (body, unit[len(body) :]):
-            ids = kept.get(x)
-            if ids is None:
-                ids = kept[x] = self._pack(self.segment(x, variant))
-                self.size += 1
-            out.append(ids)
-        return b"".join(out)
+            return (unit,)
+        return body, unit[len(body) :]
+
+    def _unit(self, unit: str) -> tuple[int, bytes]:
+        """What is kept of a unit without skips."""
+        parts = self._parts(unit)
+        if unit == "\0sign":
+            found = 0, self._pack([self.bytes[b] for b in BLANK.encode()])
+        elif len(parts) == 1:
+            return self._plain(unit, unit)
+        else:
+            (n, a), (m, b) = (self.kept.get(x) or self._plain(x, x) for x in parts)
+            found = n + m, a + b
+        self.kept[unit] = found
+        return found
 
     def _units(self, text: str) -> list[str]:
         if "\n" in text and not (BLANK in text or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "):
@@ -199,36 +261,36 @@ class DropoutEncoder:
     def encode(self, text: str, key: object) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        variant = zlib.crc32(repr((self.seed, key)).encode()) % self.variants
-        kept = self.kept[variant]
+        if len(self.kept) > self.limit:
+            self.kept.clear()
         units = self._units(text)
-        try:
-            return np.frombuffer(b"".join([kept[u] for u in units]), self.dtype)
-        except KeyError:
-            pass
-        if self.size > self.limit:
-            for k in self.kept:
-                k.clear()
-            self.size = 0
-        for u in units:
-            if u not in kept:
-                kept[u] = self._pack([self.bytes[b] for b in BLANK.encode()]) if u == "\0sign" else self._stretches(u, variant, kept)
-                self.size += 1
-        return np.frombuffer(b"".join([kept[u] for u in units]), self.dtype)
+        start = xxhash.xxh3_64_intdigest(repr((self.seed, key)).encode())
+        get, out = self.kept.get, []
+        for place, (unit, gap) in enumerate(zip(units, self.gaps(start, len(units)), strict=True)):
+            came, ids = get(unit) or self._unit(unit)
+            if gap < came:
+                more = self.more(start, place)
+                found = []
+                for x in self._parts(unit):
+                    ids, gap = self._drawn(x, gap, more)
+                    found.append(ids)
+                ids = b"".join(found)
+            out.append(ids)
+        return np.frombuffer(b"".join(out), self.dtype)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.values.__getitem__, ids.tolist()))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
-def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, variants: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 16 bits, 32 for large models) and n_ids of each row, by its id's variant.
+def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 16 bits, 32 for large models) and n_ids of each row, drawn by its id.
 
     Null and empty texts have no ids. One pass, no shuffle; rows that repeat get equal ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = DropoutEncoder(model, rate, seed, variants)
+        enc = DropoutEncoder(model, rate, seed)
         for batch in slices(batches):
             ids = [enc.encode(t or "", k) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays(

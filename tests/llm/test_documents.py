@@ -389,3 +389,38 @@ def test_dropout(docs, rows, none):
     out = dropout.decode_pieces(dropout.encode_pieces(docs, path, 0.2, 5), path).collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter((d, t or "") for d, t, *_ in rows)
     assert dropout.encode_pieces(none, path).count() == 0
+
+
+def test_dropout_draws_for_each_occurrence():
+    enc = dropout.DropoutEncoder(P.path("piece_bpe_32k.model"), 0.1, 1)
+    text = " ".join(["international,"] * 400)
+    one, two = enc.encode(text, 1).tolist(), enc.encode(text, 2).tolist()
+    assert one != two and one == enc.encode(text, 1).tolist()
+    cuts = Counter()
+    for p in range(400):
+        start = dropout.xxhash.xxh3_64_intdigest(repr((1, 7)).encode())
+        ids, gap = enc._drawn("▁international", next(enc.more(start, p, 0)), enc.more(start, p))
+        cuts[ids] += 1
+    assert len(cuts) > 10  # at most two in a whole corpus before
+    # each candidate that comes up is skipped independently with the rate's probability
+    n = 40_000
+    assert abs(sum(g > 0 for g in enc.gaps(5, n)) / n - 0.9) < 0.01 and abs(sum(g >= 8 for g in enc.gaps(6, n)) / n - 0.9**8) < 0.015
+    assert enc.gaps(5, 50) == [next(enc.more(5, p, 0)) for p in range(50)]
+
+
+def test_dropout_equals_agenda_by_agenda():
+    """What is kept gives the same pieces as drawing each occurrence's agenda from its gaps."""
+    rng = random.Random(9)
+    path = P.path("piece_bpe_32k.model")
+    for rate in (0.1, 0.001, 0.5, 1.0):
+        enc = dropout.DropoutEncoder(path, rate, 3)
+        for key in range(20):
+            text = prose(rng, 60) + " words!!! " + "abcdefghij" * rng.randint(1, 150) + " a.b... x"
+            start = dropout.xxhash.xxh3_64_intdigest(repr((3, key)).encode())
+            want = []
+            for p, unit in enumerate(enc._units(text)):
+                gaps, left = enc.more(start, p, 0), None
+                for part in enc._parts(unit):
+                    ids, _, left = enc.segment(part, gaps if left is None else iter([left, *(next(gaps) for _ in range(2000))]))
+                    want += ids
+            assert enc.encode(text, key).tolist() == want
