@@ -2,10 +2,12 @@
 
 Each page is parsed to a tree and every element subtree with text is hashed. Spark
 counts on how many different pages of a host each hash occurs. Subtrees that recur
-on many pages of their host are deleted; for hosts with few pages, or parts that
-change from page to page, elements that name themselves (nav, footer, forms,
-classes like "ad" or "comments") go too. Headings and text blocks of the article
-stay even if they recur, as copies of an article or a passage are not a template.
+on many pages of their host are deleted from the whole page, wherever they stand;
+for parts that change from page to page, elements that name themselves (nav, footer,
+forms, classes like "ad" or "comments") go too. Pages that share their longest blocks
+are copies and count once. Headings and text blocks of articles and main elements stay
+even if they recur, as a passage is not a template. On hosts with too few pages to count,
+the text is that of all articles and main elements, if there are any.
 """
 
 from __future__ import annotations
@@ -160,34 +162,47 @@ def names_itself(node: Node, inside: bool) -> bool:
     return not any(c.tag == "h1" for c in post_order(node)) if "header" in words or "masthead" in words else True
 
 
-def main_root(root: Node) -> Node:
-    """The article with most text, else main, else the whole page; articles within comments and the like don't count."""
-    best, main = None, None
+def main_roots(root: Node) -> list[Node]:
+    """The outermost articles and main elements in page order; those within comments and the like don't count."""
+    found = []
     todo = [root]
     while todo:
         node = todo.pop()
         if names_itself(node, False):
             continue
-        if node.tag == "article" and (best is None or node.length >= best.length):
-            best = node
-        if main is None and (node.tag == "main" or "main" in node.attrs and attributes(node).get("role") == "main"):
-            main = node
-        if node.tag != "article":
-            todo += [c for c in node.children if type(c) is Node]
-    return best or main or root
-
-
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that could be a template's: elements with text that hold no article."""
-    return {n.hash for n in measure(root) if n.length and not n.article and (n.tag in BLOCK or n.tag == "div")}
-
-
-def extract(html: str, templates: set[int] | frozenset[int]) -> str:
-    """Blocks in page order, one a line, of what neither recurs on the site nor names itself as something else."""
+        if node.tag in ("article", "main") or "main" in node.attrs and attributes(node).get("role") == "main":
+            found.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if type(c) is Node]
+    return found
+
+
+def candidates(root: Node) -> tuple[set[int], list[int]]:
+    """Hashes of the subtrees that could be a template's (blocks with text that hold no article, or are one), and of the blocks without blocks, longest first."""
+    found, leaves = set(), {}
+    holds = set()
+    for n in measure(root):
+        block = n.length and (n.tag in BLOCK or n.tag == "#root")
+        inner = any(type(c) is Node and id(c) in holds for c in n.children)
+        if block and (not n.article or n.tag == "article"):
+            found.add(n.hash)
+            if not inner:
+                leaves[n.hash] = n.length
+        if block or inner:
+            holds.add(id(n))
+    return found, sorted(leaves, key=lambda h: (-leaves[h], h))
+
+
+def extract(html: str, templates: set[int] | frozenset[int], counted: bool | None = None) -> str:
+    """Blocks in page order, one a line, of what neither recurs on the site nor names itself as something else.
+
+    ``counted`` says whether the site has enough pages for its counts to decide;
+    else only articles and main elements are read, if there are any.
+    """
     root = parse(html)
     measure(root)
-    top = main_root(root)
-    inside_article = top.tag != "#root"
+    tops = main_roots(root)
+    own = {id(t) for t in tops if t.hash not in templates} or {id(t) for t in tops}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -196,7 +211,8 @@ def extract(html: str, templates: set[int] | frozenset[int]) -> str:
             blocks.append(text)
         line.clear()
 
-    todo: list[object] = [top]
+    counted = bool(templates) if counted is None else counted
+    todo: list[object] = [(t, None) for t in ([root] if counted or not tops else reversed(tops))]
     while todo:
         x = todo.pop()
         if type(x) is str:
@@ -206,9 +222,12 @@ def extract(html: str, templates: set[int] | frozenset[int]) -> str:
         elif x is True:
             line.append(" ")
         else:
-            if x is not top:
-                kept = inside_article and (x.tag in TEXT_BLOCKS or 2 * x.length >= top.length)
-                if x.hash in templates and not kept and not x.article or names_itself(x, inside_article):
+            x, top = x
+            if id(x) in own:
+                top = x
+            elif x is not root:
+                kept = top is not None and (x.tag in TEXT_BLOCKS or 2 * x.length >= top.length)
+                if x.hash in templates and not kept and (not x.article or x.tag == "article") or names_itself(x, top is not None):
                     continue
             if x.tag == "br":
                 end_block()
@@ -218,7 +237,7 @@ def extract(html: str, templates: set[int] | frozenset[int]) -> str:
             if x.tag in BLOCK:
                 end_block()
                 todo.append(None)
-            todo += reversed(x.children)
+            todo += [c if type(c) is str else (c, top) for c in reversed(x.children)]
     end_block()
     return "\n".join(blocks)
 
@@ -229,33 +248,48 @@ def host_of(url: str | None) -> str:
 
 
 def site_templates(pages: DataFrame, scratch: Scratch, min_pages: int = 3, share: float = 0.02) -> DataFrame:
-    """(page_id, templates): for each page the hashes of its subtrees that recur on its host.
+    """(page_id, templates): for each page of a host with enough pages the hashes of its subtrees that recur there.
 
     A subtree recurs if at least ``min_pages`` and ``share`` of its host's different
-    pages hold it; pages whose whole trees are equal count as one.
+    pages hold it. Pages are the same if their whole trees are, or the two longest
+    blocks of those that fewer than half of the host's pages hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            hosts, whole, lists = [], [], []
+            hosts, whole, lists, leaves = [], [], [], []
             for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 root = parse(html or "")
-                found = candidates(root)
+                found, longest = candidates(root)
                 hosts.append(host_of(url))
                 whole.append(root.hash - (1 << 63))
                 lists.append([h - (1 << 63) for h in found])
+                leaves.append([h - (1 << 63) for h in longest])
+            ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-                names=["page_id", "host", "whole", "hashes"],
+                [batch.column(0), pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(lists, ints), pa.array(leaves, ints)],
+                names=["page_id", "host", "whole", "hashes", "leaves"],
             )
 
-    rows = scratch.write(pages.mapInArrow(run, "page_id long, host string, whole long, hashes array<long>"), "subtrees")
-    first = rows.groupBy("host", "whole").agg(F.min_by("hashes", F.coalesce("page_id", F.lit(-1))).alias("hashes"))
-    total = first.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = first.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    rows = scratch.write(pages.mapInArrow(run, "page_id long, host string, whole long, hashes array<long>, leaves array<long>"), "subtrees")
+    first = rows.groupBy("host", "whole").agg(F.min_by(F.struct("hashes", "leaves"), F.coalesce("page_id", F.lit(-1))).alias("p")).select("host", "whole", "p.*")
+    first = scratch.write(first, "different")
+    total = scratch.write(first.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    each = first.select("host", "whole", F.posexplode("leaves").alias("at", "h"))
+    common = each.groupBy("host", "h").agg(F.count("*").alias("n")).where("n >= 2").join(total, "host").where("2 * n >= pages").select("host", "h")
+    longest = each.join(common, ["host", "h"], "left_anti").groupBy("host", "whole").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "h"))), 1, 2)["h"].alias("two"))
+    same = longest.select("host", "whole", F.xxhash64("two").alias("copy"))
+    named = scratch.write(first.join(same, ["host", "whole"], "left").select("host", F.coalesce("copy", "whole").alias("copy"), "hashes"), "copies")
+    total = named.groupBy("host").agg(F.count_distinct("copy").alias("pages")).where(F.col("pages") >= min_pages)
+    # a copy's own pages are counted once for each subtree
+    counts = named.select("host", "copy", F.explode("hashes").alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     found = counts.join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "h")
     found = scratch.write(found, "templates")
-    return rows.select("page_id", "host", F.explode("hashes").alias("h")).join(found, ["host", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("templates"))
+    marks = rows.select("page_id", "host", F.explode("hashes").alias("h")).join(found, ["host", "h"]).groupBy("page_id").agg(F.collect_set("h").alias("templates"))
+    counted = rows.join(total, "host", "left_semi").select("page_id").distinct()
+    return counted.join(marks.withColumnRenamed("page_id", "_id"), F.col("page_id").eqNullSafe(F.col("_id")), "left").select(
+        "page_id", F.coalesce("templates", F.array().cast("array<bigint>")).alias("templates")
+    )
 
 
 def main_text(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -279,7 +313,7 @@ def main_text(pages: DataFrame, page: str = "page_id", url: str = "url", html: s
         for batch in slices(batches, 256):
             texts = []
             for packed, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                texts.append(extract(z.decompress(packed).decode("utf-8", "surrogatepass"), frozenset(h + (1 << 63) for h in hashes or ())))
+                texts.append(extract(z.decompress(packed).decode("utf-8", "surrogatepass"), frozenset(h + (1 << 63) for h in hashes or ()), hashes is not None))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -62,6 +62,24 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.text for r in by} == {"T\nOne text."}
 
 
+def test_counts_decide_before_article_and_main(spark):
+    """What is the page's own stays, wherever it stands; what recurs goes, also beside the article."""
+    make = lambda i: f"<body><div><p>Home of all</p></div><main><p>Lead of {i}.</p><div>Shared teaser</div><article><p>First text {i}.</p></article><article><p>Second, longer text {i}.</p></article></main><p>Correction to {i}.</p></body>"
+    rows = [(i, f"http://m.example/{i}", make(i)) for i in range(12)] + [(50, "http://few.example/", make(50))]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == f"Lead of {i}.\nFirst text {i}.\nSecond, longer text {i}.\nCorrection to {i}." for i in range(12))
+    assert by[50] == "Lead of 50.\nShared teaser\nFirst text 50.\nSecond, longer text 50."
+
+
+def test_near_copies_count_once(spark):
+    """Copies of a text among other pages of a host aren't its template, also where no element names an article."""
+    make = lambda i, text: (i, f"http://n.example/{i}", f"<body><div>Menu of the site</div><div>Visit {i}</div><div>{text}</div></body>")
+    copied = "<p>The first long paragraph of a text that was copied.</p><p>And its second paragraph, also copied.</p>"
+    rows = [make(i, f"<p>Paragraph of page {i} alone, and no other.</p><p>Another one of page {i}.</p>") for i in range(30)] + [make(100 + i, copied) for i in range(6)]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("was copied.\nAnd its second" in by[100 + i] and "Menu" not in by[100 + i] for i in range(6)) and all("Menu" not in by[i] for i in range(30))
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
