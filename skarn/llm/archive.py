@@ -2,8 +2,9 @@
 
 ARC files (versions 1 and 2) are parsed record by record from their header lines
 and declared lengths; WARC records get synthesised identifiers, timestamps, types
-and digests. Files are written by Spark's text writer, one row a record, and read
-whole by Spark's binary reader, so any store that Spark reaches will do. A file is
+and digests. Heads and payloads are bytes throughout, whatever their encoding. Files
+are written by Spark's text writer, one row a record (of bytes cast to a string, which
+it writes as they are), and read whole by Spark's binary reader, so any store that Spark reaches will do. A file is
 decompressed as a stream; one record is in memory at a time.
 """
 
@@ -35,6 +36,8 @@ ARC_TITLES = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_HEADER = "X-Page-Id"
+#: Field of a revisit record (an extension, which readers may ignore): the size of the payload that it leaves out.
+PAYLOAD_BYTES = "X-Payload-Bytes"
 
 
 def _clean(url: str | None, key: object) -> str:
@@ -66,7 +69,7 @@ def read_arc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     while line := stream.readline():
         if not line.strip():
             continue
-        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        text = re.sub("[\udc80-\udcff]", lambda m: f"%{ord(m[0]) - 0xDC00:02X}", line.decode("utf-8", "surrogateescape")).rstrip("\r\n")  # bytes that aren't UTF-8 are escaped
         if first:
             version = 2 if len(text.split(" ")) >= len(ARC_FIELDS[2]) else 1
         names = ARC_FIELDS[version]
@@ -87,11 +90,11 @@ def read_arc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def split_http(body: bytes) -> tuple[str, bytes]:
-    """The HTTP head (empty if there is none) and the payload."""
+    """The HTTP head (empty if there is none), as Latin-1, which keeps its bytes, and the payload."""
     if body[:5] != b"HTTP/":
         return "", body
     m = re.search(rb"\r?\n\r?\n", body)
-    return (body[: m.end()].decode("utf-8", "replace"), body[m.end() :]) if m else (body.decode("utf-8", "replace"), b"")
+    return (body[: m.end()].decode("latin-1"), body[m.end() :]) if m else (body.decode("latin-1"), b"")
 
 
 def http_field(head: str, name: str) -> str | None:
@@ -117,11 +120,10 @@ def b32(hexed: str) -> str:
     return base64.b32encode(bytes.fromhex(hexed)).decode()
 
 
-def warc_record(kind: str, fields: list[tuple[str, str]], block: str) -> str:
+def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     """Without the two line ends after the block, which the writer adds."""
-    raw = block.encode("utf-8", "surrogatepass")
-    fields = [("WARC-Type", kind), *fields, ("WARC-Block-Digest", "sha1:" + b32(hashlib.sha1(raw).hexdigest())), ("Content-Length", str(len(raw)))]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block
+    fields = [("WARC-Type", kind), *fields, ("WARC-Block-Digest", "sha1:" + b32(hashlib.sha1(block).hexdigest())), ("Content-Length", str(len(block)))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "surrogatepass") + block
 
 
 def read_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -218,32 +220,32 @@ def convert(arcs: DataFrame, path: str, min_bytes: int = 1000) -> None:
         .where("copies > 1").drop("copies")
     )
     rows = arc_rows(arcs, True).join(keeper, ["sha1", "size"], "left")
-    rows = rows.select("page_id", "url", "date", "mime", "head", "payload", "sha1", "keeper", "keeper_url", "keeper_date")
+    rows = rows.select("page_id", "url", "date", "mime", "head", "payload", "size", "sha1", "keeper", "keeper_url", "keeper_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"part-{partition_id():05d}.warc"
-        head = [warc_record("warcinfo", [("WARC-Record-ID", warc_id(name)), ("WARC-Date", warc_date("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], "software: skarn\r\nformat: WARC File Format 1.1\r\n")]
+        head = [warc_record("warcinfo", [("WARC-Record-ID", warc_id(name)), ("WARC-Date", warc_date("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: skarn\r\nformat: WARC File Format 1.1\r\n")]
         for batch in slices(batches, 256):
             out = head
-            for key, url, date, mime, http, payload, sha1, keeper, k_url, k_date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, url, date, mime, http, payload, size, sha1, keeper, k_url, k_date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fields = [("WARC-Record-ID", warc_id(url, date, key)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", "sha1:" + b32(sha1))]
                 fields.append(("Content-Type", "application/http; msgtype=response" if http else mime))
                 if key is None or keeper is None or key == keeper:
-                    out.append(warc_record("response" if http else "resource", fields, http + payload.decode("utf-8", "replace")))
+                    out.append(warc_record("response" if http else "resource", fields, http.encode("latin-1") + payload))
                 else:
-                    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", warc_id(k_url, k_date, keeper)), ("WARC-Refers-To-Target-URI", k_url), ("WARC-Refers-To-Date", warc_date(k_date))]
-                    out.append(warc_record("revisit", fields, http))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", warc_id(k_url, k_date, keeper)), ("WARC-Refers-To-Target-URI", k_url), ("WARC-Refers-To-Date", warc_date(k_date)), (PAYLOAD_BYTES, str(size))]
+                    out.append(warc_record("revisit", fields, http.encode("latin-1")))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
             head = []
 
-    _write(rows.mapInArrow(run, "value string"), path, "\r\n\r\n")
+    _write(rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")), path, "\r\n\r\n")
 
 
 def warc_rows(files: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, record_id, refers_to_id of the response, resource and revisit records.
 
     A payload that is present must have the digest its record declares; a revisit's
-    size is what its HTTP head declares.
+    size is what its record says, else what its HTTP head does, else unknown.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +260,8 @@ def warc_rows(files: DataFrame) -> DataFrame:
                 digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                 if kind != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"record {fields['warc-record-id']} has another payload than declared")
-                size = len(payload) if kind != "revisit" else int(http_field(head, "Content-Length") or 0)
+                said = fields.get(PAYLOAD_BYTES.lower()) or http_field(head, "Content-Length") or ""
+                size = len(payload) if kind != "revisit" else int(said) if said.isdigit() else None
                 rows.append((None if key is None else int(key), size, digest, kind, fields["warc-record-id"], fields.get("warc-refers-to")))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_id"]

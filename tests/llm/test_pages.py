@@ -137,6 +137,26 @@ def test_archives(spark, pages, no_pages, monkeypatch):
         assert Counter(tuple(r) for r in got) == want
 
 
+def test_archives_keep_bytes(spark, tmp_path):
+    """Heads and payloads that aren't UTF-8, and copies whose heads have no length."""
+    binary = bytes(range(256)) * 8
+    blocks = [b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\nServer: caf\xe9\r\n\r\n" % i + p for i, p in enumerate((b"na\xefve \xff", binary, binary, b"\x1f\x8b\x00\r\n\r\nWARC/1.1", b""))] + [b"\x89PNG\r\n\xff"]
+    raw = archive.arc_version_block(1, "20000101000000", "f").encode() + b"\n"
+    raw += b"".join(b"http://a/\xe9%d 1.2.3.4 20010203040506 text/html %d\n%s\n" % (i, len(b), b) for i, b in enumerate(blocks))
+    (tmp_path / "f.arc").write_bytes(raw)
+    archive.convert(archive._files(spark, str(tmp_path / "f.arc")), str(tmp_path / "warc"))
+    files = archive._files(spark, str(tmp_path / "warc"))
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in archive.warc_rows(files).collect())
+    payloads = [b.split(b"\r\n\r\n", 1)[1] for b in blocks[:5]]
+    kinds = ["response", "revisit", "response", "response", "response"]
+    want = Counter((i, len(p), hashlib.sha1(p).hexdigest(), k) for i, (p, k) in enumerate(zip(payloads, kinds, strict=True)))
+    want[None, len(blocks[5]), hashlib.sha1(blocks[5]).hexdigest(), "resource"] += 1
+    assert got == want
+    records = [r for f in files.collect() for r in archive.read_warc(archive._stream(bytes(f.content))) if r[0]["warc-type"] != "warcinfo"]
+    assert Counter(b for _, b in records) == Counter([blocks[0], blocks[1].removesuffix(binary), *blocks[2:]])
+    assert {f["warc-target-uri"] for f, _ in records} == {f"http://a/%E9{i}" for i in range(6)}
+
+
 # top-k
 
 
