@@ -2,10 +2,12 @@
 
 P(text) is the product over its tokens of P(class | class before) P(word | class).
 
-Words are clustered by units: the most frequent words are units of their own,
-and every other word belongs to the unit of its ending and length, so that each
-word of the corpus, and each word yet to come, has a class by a table of fixed
-size. Counts cover the whole corpus: word counts in a written table, unit bigrams
+The most frequent words are units of their own, and every other word starts in the
+unit of a hash of its last bytes and length. Exchange clustering gives each unit a
+class. Then every other word that occurs often enough moves, by the same exchange
+gain, to the class that fits the classes next to it; only rare words and words yet to
+come keep that of their hashed ending. Words' classes are a written table that grows
+with the vocabulary and meets the texts in a join. Counts cover the whole corpus: word counts in a written table, unit bigrams
 in per-task matrices of fixed size that are summed block by block. The unit
 matrix, whose size doesn't depend on the corpus, is where exchange clustering
 runs: words move one at a time to the class that raises the likelihood most.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,13 +38,14 @@ ADD = 0.1
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes that bound the model: units for frequent words, units for endings, classes, and the backing-off weight."""
+    """Units for frequent words, units for endings, classes, the backing-off weight, and from how many occurrences on a word has a class of its own."""
 
     words: int = 3072
     endings: int = 1023
     classes: int = 64
     weight: float = 100.0
     passes: int = 8
+    least: int = 5
 
     @property
     def units(self) -> int:
@@ -246,7 +250,7 @@ def exchange(counts: np.ndarray, k: int, passes: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """All of fixed size: classes of units, frequent words' units and counts, class masses and log10 transitions."""
+    """All of fixed size: classes of units, frequent words' units and counts, class masses and log10 transitions; and the written texts as classes."""
 
     shape: Shape
     core: dict[int, int]
@@ -258,10 +262,77 @@ class Model:
     total: int
     distinct: int
     ends: int
+    texts: DataFrame
+
+
+def best_classes(pair: np.ndarray, now: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The class of most exchange gain for each word, by its class now and how often each class stands before and after it."""
+    m = np.arange(len(now))
+    p = np.repeat(pair[None], len(now), 0)
+    p[m, now] -= right
+    p[m, :, now] -= left
+    p = np.maximum(p, 0)
+    base = _xlogx(p)
+    gain = (_xlogx(p + right[:, None, :]) - base).sum(2) + (_xlogx(p + left[:, :, None]) - base).sum(1)
+    corner, rows, cols = np.diagonal(p, 0, 1, 2), p.sum(2), p.sum(1)
+    gain += _xlogx(corner + right + left) + _xlogx(corner) - _xlogx(corner + right) - _xlogx(corner + left)
+    gain -= _xlogx(rows + right.sum(1)[:, None]) - _xlogx(rows) + _xlogx(cols + left.sum(1)[:, None]) - _xlogx(cols)
+    gain[:, END] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[m, best] > gain[m, now] + 1e-9 * np.abs(gain[m, now]), best, now)
+
+
+def assigned(docs: DataFrame, counts: DataFrame, core: dict[int, int], classes: np.ndarray, pair: np.ndarray, shape: Shape) -> DataFrame:
+    """(h, moved): the class of each word that is no unit of its own and occurs at least ``shape.least`` times."""
+    k = shape.classes
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(core, shape)
+        local: dict[bytes, int] = {}
+        held, have = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            h = np.array([*map(word_hash, local)], np.int64)[keys // (k * k)]
+            held.clear()
+            local.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(keys % (k * k), pa.int32()), pa.array(n, pa.int64())], names=["h", "context", "k"])
+
+        for batch in slices(batches, 512):
+            for text in batch.column(0).to_pylist():
+                words = tokens(text)
+                u = np.concatenate([[END], units(words), [END]]).astype(np.int64)
+                at = np.flatnonzero(u > shape.words)
+                if len(at):
+                    c = classes[u]
+                    ids = np.array([local.setdefault(words[i], len(local)) for i in (at - 1).tolist()], np.int64)
+                    held.append((ids * k + c[at - 1]) * k + c[at + 1])
+                    have += len(at)
+                if have > 500_000:
+                    yield out()
+                    have = 0
+        if held:
+            yield out()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            seen = batch.column(2)
+            context, n = (x.to_numpy() for x in seen.flatten().flatten())
+            word = np.repeat(np.arange(batch.num_rows), np.diff(seen.offsets.to_numpy())) * k
+            left, right = (np.bincount(word + x, n, batch.num_rows * k).reshape(-1, k) for x in (context // k, context % k))
+            now = classes[batch.column(1).to_numpy() + 1 + shape.words]
+            best = best_classes(pair, now, left, right)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], names=["h", "moved"])
+
+    often = counts.where((F.col("n") >= shape.least) & (F.col("h") != END)).select("h", "ending")
+    seen = docs.where("not held_out").select("text").mapInArrow(contexts, "h long, context int, k long")
+    sums = seen.join(often, "h").groupBy("h", "ending", "context").agg(F.sum("k").alias("k"))
+    lists = sums.groupBy("h", "ending").agg(F.collect_list(F.struct("context", "k")).alias("seen"))
+    return lists.select("h", "ending", "seen").mapInArrow(assign, "h long, moved int")
 
 
 def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
-    """The model, and the written table (h, n) of all training words."""
+    """The model, and the written table (h, c, of: count and class) of all training words."""
     counts = scratch.write(word_counts(docs, shape), "words", "lz4_raw")
     top = counts.where(F.col("h") != END).orderBy(F.col("n").desc(), "h").limit(shape.words).collect()
     core = {r["h"]: 1 + i for i, r in enumerate(top)}
@@ -269,39 +340,59 @@ def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape()) -> tuple[Mo
     core_counts[1 : 1 + len(top)] = [r["n"] for r in top]
     matrix = unit_bigrams(docs, core, shape)
     classes = exchange(matrix, shape.classes, shape.passes)
+    onehot = np.zeros((shape.units, shape.classes))
+    onehot[np.arange(shape.units), classes] = 1
 
-    inner = scratch.spark.createDataFrame([(h, u) for h, u in core.items()] or [(-1, -1)], "h long, unit int")
-    unit = F.coalesce("unit", F.when(F.col("ending") < 0, END).otherwise(F.col("ending") + 1 + shape.words))
-    per_unit = counts.join(F.broadcast(inner), "h", "left").groupBy(unit.alias("u")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("once")
-    )  # at most as many rows as units
+    moved = assigned(docs, counts, core, classes, onehot.T @ matrix @ onehot, shape)
+    inner = scratch.spark.createDataFrame([(h, int(classes[u])) for h, u in core.items()] or [(-1, -1)], "h long, fixed int")
+    by_ending = F.element_at(F.array(*[F.lit(int(c)) for c in classes[1 + shape.words :]]), F.col("ending") + 1)
+    of = F.coalesce("fixed", F.when(F.col("ending") < 0, END), "moved", by_ending)
+    words = scratch.write(counts.join(F.broadcast(inner), "h", "left").join(moved, "h", "left").select("h", F.col("n").alias("c"), of.alias("of")), "classes", "lz4_raw")
+    per_class = words.groupBy("of", (F.col("h") == END).alias("end")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once"))
     mass, unknown = np.zeros(shape.classes), np.full(shape.classes, ADD)
     total = distinct = ends = 0
-    for r in per_unit.collect():
+    for r in per_class.collect():
         total += r["n"]
         distinct += r["v"]
-        if r["u"] == END:
+        if r["end"]:
             ends = r["n"]
         else:
-            mass[classes[r["u"]]] += r["n"] + ADD * r["v"]
-            unknown[classes[r["u"]]] += r["once"]
+            mass[r["of"]] += r["n"] + ADD * r["v"]
+            unknown[r["of"]] += r["once"]
     unknown[END] = 0
     mass += unknown
     mass[END] = ends + ADD
-    onehot = np.zeros((shape.units, shape.classes))
-    onehot[np.arange(shape.units), classes] = 1
-    pair = onehot.T @ matrix @ onehot
-    step = np.log10((pair + shape.weight * mass / mass.sum()) / (pair.sum(1, keepdims=True) + shape.weight))
-    return Model(shape, core, core_counts, classes, mass, unknown, step, total, distinct, ends), counts.select("h", F.col("n").alias("c"))
+    m = Model(shape, core, core_counts, classes, mass, unknown, np.zeros((shape.classes,) * 2), total, distinct, ends, docs)
+    m.texts = scratch.write(as_classes(docs, m, words), "texts")
+    pair = np.zeros((shape.classes, shape.classes))
+    for r in class_bigrams(m.texts, shape.classes).collect():
+        pair[r["a"] // shape.classes, r["a"] % shape.classes] = r["n"]
+    m.step = np.log10((pair + shape.weight * mass / mass.sum()) / (pair.sum(1, keepdims=True) + shape.weight))
+    return m, words
+
 
+def class_bigrams(texts: DataFrame, k: int) -> DataFrame:
+    """(a, n): how often each pair of classes, as one number, stands in the training texts."""
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in slices(batches, 512):
+            for raw in batch.column(0).to_pylist():
+                c = np.frombuffer(raw, "<u2").astype(np.int64)
+                total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["a", "n"])
 
-    Transitions and frequent words are scored where the text is. The distinct other
-    words of a text go, with how often they occur, to where their counts are; sums
-    come back. Such words are rare by definition, so no key is hot. A text's own row
-    travels under a hash of its place with count 0.
+    return texts.where("not held_out").select("classes").mapInArrow(run, "a int, n long").groupBy("a").agg(F.sum("n").alias("n"))
+
+
+def as_classes(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, emitted and classes (16 bits each, between two ends) of each row.
+
+    Frequent words are scored where the text is. The distinct other words of a text
+    go, with their places, to where their counts and classes are; sums and the
+    classes that aren't their endings' come back. Such words are rare by definition,
+    so no key is hot. A text's own row travels under a hash of its place with count 0.
     """
     m = model
     floor = math.log10(m.total + ADD * (m.distinct + 1)) if m.total + m.distinct else math.log10(ADD)
@@ -310,52 +401,86 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     base_core[END] = math.log10(m.ends + ADD) - floor
     emit_core[END] = 0.0
     last = m.shape.words
+    fixed = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(m.core, m.shape)
+        units = Units(m_core, m_shape)
         row = partition_id() << 36
-        names = ["row", "doc_id", "held_out", "h", "k", "cls", "n_tokens", "known", "base", "score"]
-        for batch in slices(batches, 128):
+        names = ["row", "doc_id", "held_out", "h", "k", "cls", "n_tokens", "known", "base", "score", "raw"]
+        for batch in slices(batches, 32):
             cols = [[] for _ in names]
             for doc, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
                 u = np.concatenate([[END], units(words), [END]]).astype(np.int64)
-                c = m.classes[u]
+                c = m_classes[u]
                 own = u[1:] <= last
                 mine = u[1:][own]
-                rare = Counter(w for w, x in zip(words, own.tolist(), strict=False) if not x)
-                known = int((m.core_counts[mine] > 0).sum()) + (m.ends > 0)
-                total = float(m.step[c[:-1], c[1:]].sum() + emit_core[mine].sum())
-                values = (row, doc, out, (xxhash.xxh3_64_intdigest(b"row%d" % row) >> 1) | (1 << 62), 0, 0, len(u) - 1, known, float(base_core[mine].sum()), total)
+                known = int((core_counts[mine] > 0).sum()) + (ends > 0)
+                values = (row, doc, out, (xxhash.xxh3_64_intdigest(b"row%d" % row) >> 1) | (1 << 62), 0, 0, len(u) - 1, known, float(base_core[mine].sum()), float(emit_core[mine].sum()), c.astype("<u2").tobytes())
                 for col, v in zip(cols, values, strict=True):
                     col.append(v)
+                rare: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(~own).tolist():
+                    rare.setdefault(words[i], []).append(i + 1)
                 if rare:
-                    r = list(rare)
-                    n = len(r)
-                    of = m.classes[[units.known[w] if w in units.known else 1 + last + ending(w, m.shape.endings) for w in r]]
-                    for col, vs in zip(cols, ([row] * n, [None] * n, [None] * n, map(word_hash, r), rare.values(), of.tolist(), [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
+                    n = len(rare)
+                    of = [int(c[at[0]]) for at in rare.values()]
+                    places = [array("I", at).tobytes() for at in rare.values()]
+                    lengths = [len(at) for at in rare.values()]
+                    for col, vs in zip(cols, ([row] * n, [None] * n, [None] * n, map(word_hash, rare), lengths, of, [0] * n, [0] * n, [0.0] * n, [0.0] * n, places), strict=True):
                         col.extend(vs)
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, fixed, strict=True)], names=names)
 
-    schema = "row long, doc_id long, held_out boolean, h long, k int, cls int, n_tokens long, known long, base double, score double"
+    m_core, m_shape, m_classes, core_counts, ends = m.core, m.shape, m.classes, m.core_counts, m.ends
+    schema = "row long, doc_id long, held_out boolean, h long, k int, cls int, n_tokens long, known long, base double, score double, raw binary"
     rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
-    per_class = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), F.col("cls") + 1)
+    of = F.coalesce("of", "cls")
+    per_class = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), of + 1)
     log_mass = np.log10(np.maximum(m.mass, 1e-300))
     c = F.coalesce("c", F.lit(0))
     base = F.col("k") * (F.log10(c + ADD) - floor)
     emit = F.col("k") * (F.when(F.col("c").isNull(), per_class(np.log10(np.maximum(m.unknown, 1e-300)))).otherwise(F.log10(c + ADD)) - per_class(log_mass))
-    found = rows.join(counts, "h", "left").select(
+    rare = F.col("k") > 0
+    found = rows.join(words, "h", "left").select(
         "row", "doc_id", "held_out", "n_tokens", (F.col("known") + F.when(c > 0, F.col("k")).otherwise(0)).alias("known"),
-        (F.col("base") + F.when(F.col("k") > 0, base).otherwise(0.0)).alias("base"), (F.col("score") + F.when(F.col("k") > 0, emit).otherwise(0.0)).alias("score"),
+        (F.col("base") + F.when(rare, base).otherwise(0.0)).alias("base"), (F.col("score") + F.when(rare, emit).otherwise(0.0)).alias("score"),
+        F.when(~rare, F.col("raw")).alias("classes"), F.when(rare & (of != F.col("cls")), F.struct(of.alias("of"), F.col("raw").alias("at"))).alias("move"),
     )
     out = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("emitted"), F.first("classes", True).alias("classes"), F.collect_list("move").alias("moves"),
     )
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            done = []
+            of, at = batch.column(7).flatten().flatten()
+            of, at = of.to_numpy(), at.to_pylist()
+            ends = np.cumsum(np.diff(batch.column(7).offsets.to_numpy())).tolist()
+            for raw, lo, hi in zip(batch.column(6).to_pylist(), [0, *ends], ends, strict=False):
+                c = np.frombuffer(raw, "<u2").copy()
+                c[np.frombuffer(b"".join(at[lo:hi]), "<u4")] = np.repeat(of[lo:hi], [len(x) // 4 for x in at[lo:hi]])
+                done.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(done, pa.binary())], names=[*batch.schema.names[:6], "classes"])
+
+    kept = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emitted"]
+    return out.select(*kept, "classes", "moves").mapInArrow(move, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, classes binary")
+
+
+def score(model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row: what its words emit, and its transitions."""
+    step = model.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            cs = [np.frombuffer(raw, "<u2") for raw in batch.column(6).to_pylist()]
+            total = [e + float(step[c[:-1], c[1:]].sum()) for e, c in zip(batch.column(5).to_pylist(), cs, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total, pa.float64())], names=[*batch.schema.names[:5], "score"])
+
+    out = model.texts.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "emitted", "classes").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score",
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
@@ -368,8 +493,8 @@ def brown_scores(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id"
     word is unknown.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("text"))
-    model, counts = train(own, Scratch(docs.sparkSession, "brown"), shape)
-    return score(own, model, counts)
+    model, _ = train(own, Scratch(docs.sparkSession, "brown"), shape)
+    return score(model)
 
 
 def op1_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

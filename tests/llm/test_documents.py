@@ -366,6 +366,25 @@ def test_model_beats_base_on_held_out_text(spark):
     assert len(got) > 10 and sum(r.score for r in got) > sum(r.base_score for r in got) * 0.9
 
 
+def test_words_outside_the_units_move_to_their_class(spark):
+    """Words that alternate by kind, with endings that say nothing: those that aren't units are found to be of one kind, too."""
+    from skarn.llm.common import Scratch
+
+    rng = random.Random(12)
+    kinds = [[f"{hashlib.md5(b'%d %d' % (g, i)).hexdigest()[:6]}" for i in range(120)] for g in (0, 1)]
+    rows = [(i, " ".join(rng.choice(kinds[j % 2][: 20 if rng.random() < 0.5 else 120]) for j in range(60)), i % 10 == 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    found = {}
+    for least in (5, 1 << 40):
+        shape = brown.Shape(words=40, endings=7, classes=3, least=least)
+        m, words = brown.train(docs, Scratch(spark, "t"), shape)
+        of = {r.h: r.of for r in words.collect()}
+        by = [Counter(of[brown.word_hash(w.encode())] for w in g) for g in kinds]
+        held = brown.score(m).where("held_out").collect()
+        found[least] = max(by[0][1] + by[1][2], by[0][2] + by[1][1]) / 240, sum(r.score for r in held)
+    assert found[5][0] > 0.98 > 0.9 > found[1 << 40][0] and found[5][1] > found[1 << 40][1]
+
+
 # merge dropout
 
 
