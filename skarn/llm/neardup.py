@@ -12,11 +12,12 @@ decide. What keeps this linear where texts repeat:
   for texts that consist of little else.
 * A list's members are first compared with its most central member alone (the
   one whose values are the most common, as an original among its edited copies).
-  Afterwards members meet the other components of their lists: hashes that a single
-  open set has bound its overlap with any other, which rules out heavily edited
-  copies of one original, whose sketches still look alike; what remains is compared
-  in full with all members of the component, block against block. No pair between
-  components stays unchecked.
+  Two members of one list thus stand in the group of the same centre: where a group
+  has members that aren't linked yet, their full sets are laid out as a grid of
+  blocks, and each cell of the grid gives only the links that join two components.
+  Hashes that a single open set has bound its overlap with any other, which keeps
+  heavily edited copies of one original, whose sketches still look alike, out of
+  the grid. No pair between components stays unchecked, and no pair is a row.
 
 m is chosen so that a pair at the threshold misses it with probability below
 1e-9 (the shared values of two bottom-k sketches are at least binomial).
@@ -37,6 +38,8 @@ from .common import Scratch, slices, table
 from .graph import components
 
 K = 64
+#: Hashes of one side of a grid's cell, about.
+GRID = 200_000
 
 
 def safe_overlap(k: int, percent: int, miss: float = 1e-9) -> int:
@@ -117,44 +120,63 @@ def _close(a: Column, b: Column, low: float) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) >= F.floor(low * F.size(union))
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, side: str, hashes: int = 200_000) -> DataFrame:
-    """(root, ids, sizes, hashes): the full sets of the rows (rep, root) of each root, in blocks of about so many hashes."""
-    full = rows.join(sets.withColumnRenamed("doc", "rep"), "rep").select("root", "rep", "hashes")
-    count = full.groupBy("root").agg(F.sum(F.size("hashes")).alias("total"))
-    dealt = full.join(count, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / hashes)))
-    each = dealt.groupBy("root", "block").agg(F.collect_list(F.struct("rep", "hashes")).alias("m"))
+def _blocks(rows: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """(g, xb, yb, roots, sizes, hashes): the full sets of the rows (g, rep, root, nx, ny), block by block, in every cell of the group's grid that needs them."""
+    own, other, n, m = ("xb", "yb", "nx", "ny") if side == "x" else ("yb", "xb", "ny", "nx")
+    dealt = rows.join(sets.toDF("rep", "hashes"), "rep").withColumn(own, F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
+    each = dealt.groupBy("g", own, m).agg(F.collect_list(F.struct("root", "hashes")).alias("m"))
     return each.select(
-        "root",
-        F.transform("m", lambda e: e["rep"]).alias(f"{side}_ids"),
+        "g", own, F.explode(F.sequence(F.lit(0), F.col(m).cast("int") - 1)).alias(other),
+        F.transform("m", lambda e: e["root"]).alias(f"{side}_roots"),
         F.transform("m", lambda e: F.size(e["hashes"])).alias(f"{side}_sizes"),
         F.flatten(F.transform("m", lambda e: e["hashes"])).alias(f"{side}_hashes"),
-    )
+    )
+
+
+def cell_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int) -> list[tuple[int, int]]:
+    """Links (root, root) that join the components of two blocks' sets, each block as roots, sizes and hashes of its sets.
+
+    Every pair of sets under different roots is compared in full; a link between
+    roots that earlier ones already joined isn't given, so there are fewer than roots.
+    """
+    (x_roots, x_sizes, x_hashes), (y_roots, y_sizes, y_hashes) = x, y
+    names, of = np.unique(np.concatenate([x_roots, y_roots]), return_inverse=True)
+    of_x, of_y = of[: len(x_roots)], of[len(x_roots) :]
+    label = np.arange(len(names))
+    order = np.argsort(y_hashes, kind="stable")
+    values, first = np.unique(y_hashes[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    owner = np.repeat(np.arange(len(y_sizes)), y_sizes)[order]
+    at, out = 0, []
+    for k, n in zip(of_x.tolist(), x_sizes.tolist(), strict=True):
+        h = x_hashes[at : at + n]
+        at += n
+        place = np.minimum(np.searchsorted(values, h), len(values) - 1)
+        place = place[values[place] == h]
+        span = ends[place] - first[place]
+        total = int(span.sum())
+        if not total:
+            continue
+        inter = np.bincount(owner[np.repeat(first[place] - np.cumsum(span) + span, span) + np.arange(total)], minlength=len(y_sizes))
+        close = np.flatnonzero((100 * inter >= percent * (n + y_sizes - inter)) & (inter > 0))
+        for j in np.unique(of_y[close]).tolist():
+            if label[j] != label[k]:
+                out.append((int(names[k]), int(names[j])))
+                label[label == label[j]] = label[k]
+    return out
 
 
 def _links_between(xs: DataFrame, ys: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of the sets that stand in blocks under the same root, the pairs that are close enough, all compared in full."""
+    """(a, b): the links between roots that the cells of all grids give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            take = lambda k: batch.column(k).flatten().to_numpy()  # noqa: E731, B023
-            x_ids, x_sizes, x_hashes, y_ids, y_sizes, y_hashes = (take(k) for k in range(6))
-            order = np.argsort(y_hashes, kind="stable")
-            sorted_, owner = y_hashes[order], np.repeat(np.arange(len(y_ids)), y_sizes)[order]
-            at, out = 0, []
-            for i, n in zip(x_ids.tolist(), x_sizes.tolist(), strict=True):
-                h = x_hashes[at : at + n]
-                at += n
-                lo, hi = np.searchsorted(sorted_, h, "left"), np.searchsorted(sorted_, h, "right")
-                span = hi - lo
-                places = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
-                inter = np.bincount(owner[places], minlength=len(y_ids))
-                close = np.flatnonzero((100 * inter >= percent * (n + y_sizes - inter)) & (inter > 0))
-                out += [(i, int(j)) for j in y_ids[close]]
-            a, b = zip(*out, strict=True) if out else ((), ())
+            x, y = (tuple(batch.column(k + i).flatten().to_numpy() for i in range(3)) for k in (0, 3))
+            a, b = zip(*found, strict=True) if (found := cell_links(x, y, percent)) else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    both = xs.join(ys, "root").select("x_ids", "x_sizes", "x_hashes", "y_ids", "y_sizes", "y_hashes")
-    return both.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    both = xs.join(ys, ["g", "xb", "yb"]).select("x_roots", "x_sizes", "x_hashes", "y_roots", "y_sizes", "y_hashes")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,39 +225,39 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     sk = reps.select("rep", "sketch")
     centres = listed.groupBy("v").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"), F.count("*").alias("s")).where("s > 1").select("v", "a")
-    stars = listed.join(centres, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = stars.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_close(F.col("sa"), F.col("sb"), low)).select("a", "b")
+    met = scratch.write(listed.join(centres, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "met", "lz4_raw")
+    stars = met.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_close(F.col("sa"), F.col("sb"), low)).select("a", "b")
     stars = scratch.write(stars, "star_pairs")
     ids = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
     links = verified(stars, full_sets(ids, "star_sets"), "star_links")
     scratch.drop("star_sets")
     comp = scratch.write(components(links, scratch, "first"), "comp1")
 
-    rooted = listed.select("rep", "n", "v").join(comp.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = scratch.write(rooted, "rooted", "lz4_raw")
-    sizes = rooted.groupBy("v", "root").agg(F.count("*").alias("s"))
-    mixed = sizes.groupBy("v").agg(F.max_by("root", F.struct("s", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1").select("v", "big")
-    open_ = scratch.write(rooted.join(mixed, "v"), "open", "lz4_raw")
+    # two members of a list have its centre in common: groups of centres hold every pair that shares a list
+    group = met.toDF("g", "rep").union(met.select("a", "a").distinct())
+    group = group.join(comp.toDF("rep", "root"), "rep", "left").select("g", "rep", F.coalesce("root", "rep").alias("root"))
+    apart = lambda df: df.join(df.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g"), "g")
+    open_ = scratch.write(apart(scratch.write(group, "groups", "lz4_raw")), "open", "lz4_raw")
     # a hash that only one open set has is in no overlap between them: this bounds overlaps before any pair is formed
     sets = full_sets(open_.select(F.col("rep").alias("doc")).distinct(), "open_sets")
     alone = sets.select("doc", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("s"), F.min("doc").alias("rep")).where("s = 1")
-    alone = scratch.write(alone.groupBy("rep").agg(F.count("*").alias("u")), "alone")
-    able = open_.join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
-    able = scratch.write(able.select("v", "rep", "n", "most", "root", "big"), "able", "lz4_raw")
-    # which members could link to which other component of a list: by the component's bounds, so a row a component and not a row a member
-    bounds = able.groupBy("v", "root").agg(F.max("most").alias("most"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.first("big").alias("big"))
-    x, y = able.where("root <> big").alias("x"), bounds.alias("y")
-    could = (
-        (F.col("x.v") == F.col("y.v"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.big")) | (F.col("x.root") < F.col("y.root")))
-        & ((100 + percent) * F.least(F.col("x.most"), F.col("y.most")) >= percent * (F.col("x.n") + F.col("y.n0")))
-        & (100 * F.least(F.col("x.n"), F.col("y.n1")) >= percent * F.greatest(F.col("x.n"), F.col("y.n0")))
+    alone = alone.groupBy("rep").agg(F.count("*").alias("u"))
+    sized = sets.select(F.col("doc").alias("rep"), F.size("hashes").alias("n"))
+    able = sized.join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
+    able = scratch.write(apart(scratch.write(open_.join(able.drop("u"), "rep"), "bounded", "lz4_raw")), "able", "lz4_raw")
+    # members of a group's largest component aren't compared with each other; the others must have room for a link within the group's bounds
+    big = able.groupBy("g", "root").agg(F.count("*").alias("s")).groupBy("g").agg(F.max_by("root", F.struct("s", "root")).alias("big"))
+    bounds = able.groupBy("g").agg(F.max("most").alias("m1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    asked = able.join(big, "g").join(bounds, "g").where(
+        (F.col("root") != F.col("big"))
+        & ((100 + percent) * F.least("most", "m1") >= percent * (F.col("n") + F.col("n0")))
+        & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n0"))
     )
-    asked = scratch.write(x.join(y, could).select(F.col("x.rep").alias("rep"), F.col("y.root").alias("root")).distinct(), "asked")
-    wanted = asked.select("root").distinct()
-    members = able.select("rep", "root").distinct().join(wanted, "root")
-    more = scratch.write(_links_between(_blocks(asked, sets, "x"), _blocks(members, sets, "y"), percent), "cross_links")
+    asked = scratch.write(asked.select("g", "rep", "root", "n"), "asked", "lz4_raw")
+    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.sum("n") / GRID).alias(name))
+    grid = scratch.write(blocks(asked, "nx").join(blocks(able, "ny"), "g"), "grid")
+    laid = lambda df: df.select("g", "rep", "root").join(grid, "g")
+    more = scratch.write(_links_between(_blocks(laid(asked), sets, "x"), _blocks(laid(able), sets, "y"), percent), "cross_links")
     scratch.drop("open_sets")
     final = comp.toDF("rep", "top")
     if not more.isEmpty():  # what the second round links: components of components

@@ -211,6 +211,40 @@ def test_chains_link_across_centres(spark):
     assert got == want and 1 < len({c for _, c in want.values()}) < 40
 
 
+def test_open_members_of_one_group(spark, monkeypatch):
+    """Copies of one text, most of them edited too much to be close to it, some close to another one only; small cells, so that the grid is one."""
+    monkeypatch.setattr(neardup, "GRID", 2000)
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base) if i % 5 or not rows else rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.choice([1, 2, 4, 5, 6, 8, 12])):
+            words[rng.randrange(120)] = f"w{rng.randrange(300)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    want = components_by_hand(rows, 3, 85)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 140
+
+
+def test_cells_give_a_forest_of_links():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, 40)) if k % 3 else np.arange(k, 60) for k in range(40)]
+    side = (np.arange(40), np.array([len(x) for x in sets]), np.concatenate(sets))
+    links = neardup.cell_links(side, side, 85)
+    j = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    low = list(range(40))
+    for a in range(40):
+        for b in range(a):
+            if j(sets[a], sets[b]) >= 0.85 and low[a] != low[b]:
+                low = [low[b] if x == low[a] else x for x in low]
+    mine = list(range(40))
+    for a, b in links:
+        assert j(sets[a], sets[b]) >= 0.85 and mine[a] != mine[b]  # never a link within what is joined
+        mine = [mine[b] if x == mine[a] else x for x in mine]
+    assert len(set(zip(low, mine, strict=True))) == len(set(low)) == len(set(mine)) < 40
+
+
 def test_components_of_paths(spark):
     from skarn.llm.common import Scratch
     from skarn.llm.graph import components
