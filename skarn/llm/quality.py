@@ -2,14 +2,16 @@
 
 Everything is DataFrame expressions: one projection turns a text into counts,
 the counts (a few numbers a document) are written once, and concentration steps
-run over them as grouped aggregates. No text is shuffled.
+run over them as grouped aggregates. No text is shuffled, and no row of a group
+either: a task sums up its own rows, and what is known of a group comes to the
+rows in a broadcast whose size is checked.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, chi2_cdf, chi2_quantile, table, words
@@ -21,6 +23,11 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: values hardly differ (no symbols at all, say) from rejecting every small departure.
 FLOORS = {"x_len": 0.05, "x_sym": 0.05, "x_cap": 0.05, "x_dup": 0.15, "x_rep": 0.12}
 WINDOW = 5
+#: Rows up to which a table of groups is broadcast; a larger one is left to the planner.
+BROADCAST_ROWS = 50_000
+#: Steps of a quantile's bins: of medians and deviations, and a doubling of a distance.
+FINE, PER_DOUBLING = 4096, 64
+STARTS = ("deviations", "tanh", "signs")
 
 
 def text_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -99,71 +106,127 @@ def _sum(cols) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
+def _small(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The table written, and broadcast where its rows, counted, are few."""
+    df = scratch.write(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _lowest_bin(rows: DataFrame, by: list[str], bin_: str, share: float) -> DataFrame:
+    """(by, cut): the smallest bin up to which at least ``share`` of the rows lie. Counts of bins don't depend on how rows are dealt."""
+    counts = rows.groupBy(*by, bin_).agg(F.count("*").alias("n"))
+    all_, up_to = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(bin_)
+    counts = counts.select(*by, bin_, F.sum("n").over(up_to).alias("have"), F.sum("n").over(all_).alias("total"))
+    return counts.where(F.col("have") >= F.lit(share) * F.col("total")).groupBy(*by).agg(F.min(bin_).alias("cut"))
+
+
+def _medians(rows: DataFrame, group: str, values: dict[str, Column], name: str) -> DataFrame:
+    """(group, <name>_x for each x): the group's medians, to within a step of 1/FINE."""
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.floor(v * FINE + 0.5).alias("bin")) for x, v in values.items()])).alias("e")
+    cuts = _lowest_bin(rows.select(group, each).select(group, "e.x", "e.bin"), [group, "x"], "bin", 0.5)
+    return cuts.groupBy(group).agg(*[(F.max(F.when(F.col("x") == x, F.col("cut"))) / FINE).alias(f"{name}_{x}") for x in values])
+
+
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i + 1)]
+
+
+def _factored(est: DataFrame, keys: list[str], xs: list[str], floors: dict[str, float]) -> DataFrame:
+    """(keys, m_x, l_i_j, det): centre, Cholesky factor and log-determinant of covariances v_i_j, column by column."""
+    for j in range(len(xs)):
+        for i in range(j, len(xs)):
+            rest = F.col(f"v_{i}_{j}") - (_sum(F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)) if j else 0)
+            est = est.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(floors[xs[i]] ** 2 * 0.25))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    det = 2 * _sum(F.log(f"l_{i}_{i}") for i in range(len(xs)))
+    return est.select(*keys, *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i, j in _pairs(len(xs))], det.alias("det"))
+
+
+def _starts(rows: DataFrame, scratch: Scratch, group: str, xs: list[str], floors: dict[str, float]) -> DataFrame:
+    """Starts by group: medians with deviations alone, or with the correlations of tanh(z) or of z's direction, z being in deviations from the median."""
+    med = _small(_medians(rows, group, {x: F.col(x) for x in xs}, "m"), scratch, "median")
+    near = rows.join(med, group)
+    mad = _medians(near, group, {x: F.abs(F.col(x) - F.col(f"m_{x}")) for x in xs}, "s")
+    scale = _small(med.join(mad, group).select(group, *[f"m_{x}" for x in xs], *[F.greatest(1.4826 * F.col(f"s_{x}"), F.lit(floors[x])).alias(f"s_{x}") for x in xs]), scratch, "scale")
+    z = [(F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}") for x in xs]
+    norm = F.greatest(_sum(v * v for v in z), F.lit(1e-12))
+    moment = {"tanh": lambda i, j: F.tanh(z[i]) * F.tanh(z[j]), "signs": lambda i, j: z[i] * z[j] / norm}
+    found = rows.join(scale, group).groupBy(group).agg(*[F.avg(f(i, j)).alias(f"{k}_{i}_{j}") for k, f in moment.items() for i, j in _pairs(len(xs))])
+    found = found.join(scale, group)
+
+    def start(k: int, name: str) -> DataFrame:
+        s = [F.col(f"s_{x}") for x in xs]
+        by = lambda i, j: F.col(f"{name}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"{name}_{i}_{i}"), F.lit(1e-6)) * F.greatest(F.col(f"{name}_{j}_{j}"), F.lit(1e-6)))
+        v = lambda i, j: s[i] * s[j] if i == j else F.lit(0.0) if name == "deviations" else by(i, j) * s[i] * s[j] * 0.99
+        return found.select(group, F.lit(k).alias("start"), *[f"m_{x}" for x in xs], *[v(i, j).alias(f"v_{i}_{j}") for i, j in _pairs(len(xs))])
+
+    every = reduce(DataFrame.union, [start(k, name) for k, name in enumerate(STARTS)])
+    return _factored(every, [group, "start"], xs, floors)
+
+
+def _estimate(core: DataFrame, keys: list[str], xs: list[str], floors: dict[str, float], consistency: float) -> DataFrame:
+    """Mean and covariance of the rows of ``core``; deviations are from the last centre, which keeps second moments from cancelling."""
+    p = len(xs)
+    dev = [F.col(x) - F.col(f"m_{x}") for x in xs]
+    agg = core.groupBy(*keys).agg(
+        *[F.first(f"m_{x}").alias(f"m_{x}") for x in xs],
+        *[F.avg(dev[i]).alias(f"a_{i}") for i in range(p)],
+        *[F.avg(dev[i] * dev[j]).alias(f"b_{i}_{j}") for i, j in _pairs(p)],
+    )
+    agg = agg.select(
+        *keys,
+        *[(F.col(f"m_{x}") + F.col(f"a_{i}")).alias(f"m_{x}") for i, x in enumerate(xs)],
+        *[((F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * consistency + (floors[xs[i]] ** 2 if i == j else 0)).alias(f"v_{i}_{j}") for i, j in _pairs(p)],
+    )
+    return _factored(agg, keys, xs, floors)
+
+
 def mcd_distance(
     stats: DataFrame,
     scratch: Scratch,
     group: str,
     xs: list[str],
     usable: str,
-    weight: str,
     floors: dict[str, float] = FLOORS,
     share: float = 0.75,
-    steps: int = 3,
+    max_steps: int = 20,
 ) -> DataFrame:
-    """Adds ``distance``: squared Mahalanobis distance from the group's MCD estimate.
-
-    Start: coordinate-wise medians and median absolute deviations. Each
-    concentration step keeps the rows whose distance is at most the group's
-    ``share`` quantile and re-estimates mean and covariance from them. Groups
-    are reduced map-side (moments and mergeable quantile sketches), so a group
-    with a third of all rows costs no single task more than its partial rows.
-    ``weight`` in (0, 1] scales a row's squared distance (short texts, whose
-    statistics scatter more). Rows that aren't ``usable`` take no part in the
-    estimates. The covariance is factored (Cholesky) in column expressions.
-    A group without usable rows has a null distance.
+    """Adds ``distance``: squared Mahalanobis distance from the group's reweighted MCD estimate.
+
+    From each of three starts, a concentration step keeps the rows whose distance is
+    at most the group's ``share`` quantile (in bins of 1/64 of a doubling) and
+    re-estimates mean and covariance from them, until no determinant changes (at most
+    ``max_steps`` times). A group's estimate is that of the smallest determinant,
+    re-estimated once from all rows within the chi-square quantile 0.975. The square
+    of a statistic's floor is added to its variance in every estimate, so a
+    statistic that doesn't vary has one.
+
+    Groups are reduced map-side (counts of bins, moments), so a group with a third
+    of all rows costs no task more than its own rows. Rows that aren't ``usable``
+    take no part in the estimates. A group without usable rows has a null distance.
     """
     p = len(xs)
-    rows = stats.where(F.col(usable))
-    c = share / chi2_cdf(chi2_quantile(share, p), p + 2)  # consistency of a truncated normal's covariance
-    q = lambda x, at: F.percentile_approx(x, F.lit(at), F.lit(2000))
-    med = scratch.write(rows.groupBy(group).agg(*[q(F.col(x), 0.5).alias(f"m_{x}") for x in xs]), "median")
-    mad = rows.join(med, group).groupBy(group).agg(
-        *[F.first(f"m_{x}").alias(f"m_{x}") for x in xs], *[q(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5).alias(f"s_{x}") for x in xs]
-    )
-    est = mad.select(
-        group,
-        *[F.col(f"m_{x}") for x in xs],
-        *[(F.greatest(1.4826 * F.col(f"s_{x}"), F.lit(floors[x])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
-          for i, x in enumerate(xs) for j in range(i + 1)],
-    )
-    est = scratch.write(est, "start")
-    for k in range(steps):
-        far = _with_distance(rows.join(est, group), xs, weight)
-        cut = scratch.write(far.groupBy(group).agg(q(F.col("distance"), share).alias("cut")), f"cut{k}")
-        core = far.join(cut, group).where(F.col("distance") <= F.col("cut"))
-        pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-        # deviations from the last centre keep the second moments from cancelling
-        dev = [F.col(x) - F.col(f"m_{x}") for x in xs]
-        agg = core.groupBy(group).agg(
-            *[F.first(f"m_{x}").alias(f"m_{x}") for x in xs],
-            *[F.avg(dev[i]).alias(f"a_{i}") for i in range(p)],
-            *[F.avg(dev[i] * dev[j]).alias(f"b_{i}_{j}") for i, j in pairs],
-        )
-        agg = agg.select(
-            group,
-            *[(F.col(f"m_{x}") + F.col(f"a_{i}")).alias(f"m_{x}") for i, x in enumerate(xs)],
-            *[((F.col(f"b_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}")) * c + (floors[xs[i]] ** 2 if i == j else 0)).alias(f"v_{i}_{j}") for i, j in pairs],
-        )
-        for j in range(p):  # column by column, as each needs those before it
-            for i in range(j, p):
-                rest = F.col(f"v_{i}_{j}") - (_sum(F.col(f"l_{i}_{k2}") * F.col(f"l_{j}_{k2}") for k2 in range(j)) if j else 0)
-                value = F.sqrt(F.greatest(rest, F.lit(floors[xs[i]] ** 2 * 0.25))) if i == j else rest / F.col(f"l_{j}_{j}")
-                agg = agg.withColumn(f"l_{i}_{j}", value)
-        est = scratch.write(agg.select(group, *[f"m_{x}" for x in xs], *[f"l_{i}_{j}" for i, j in pairs]), f"step{k}")
-    return _with_distance(stats.join(est, group, "left"), xs, weight).drop(*est.drop(group).columns)
-
-
-def _with_distance(df: DataFrame, xs: list[str], weight: str) -> DataFrame:
+    rows = stats.where(F.col(usable)).select(group, *xs)
+    consistency = lambda q: q / chi2_cdf(chi2_quantile(q, p), p + 2)  # noqa: E731 - of a truncated normal's covariance
+    keys = [group, "start"]
+    est = _small(_starts(rows, scratch, group, xs, floors), scratch, "start")
+    for k in range(max_steps):
+        low, high = 2.0**-30, 2.0**30
+        far = _with_distance(rows.join(est, group), xs).withColumn("bin", F.floor(F.log2(F.least(F.greatest("distance", F.lit(low)), F.lit(high))) * PER_DOUBLING))
+        cut = _small(_lowest_bin(far, keys, "bin", share), scratch, f"cut{k}")
+        core = far.join(cut, keys).where(F.col("bin") <= F.col("cut"))
+        new = _small(_estimate(core, keys, xs, floors, consistency(share)), scratch, f"step{k}")
+        moved = new.select(*keys, F.col("det").alias("new")).join(est.select(*keys, "det"), keys).agg(F.max(F.abs(F.col("new") - F.col("det")))).first()[0]
+        est = new
+        if moved is None or moved < 1e-9:
+            break
+    best = est.groupBy(group).agg(F.min(F.struct(F.round("det", 9).alias("det"), "start")).alias("b")).select(group, F.col("b.start").alias("start"))
+    best = _small(est.join(best, keys), scratch, "best").drop("start")
+    inside = _with_distance(rows.join(F.broadcast(best), group) if best.count() <= BROADCAST_ROWS else rows.join(best, group), xs).where(F.col("distance") <= chi2_quantile(0.975, p))
+    final = _small(_estimate(inside, [group], xs, floors, consistency(0.975)), scratch, "final")
+    return _with_distance(stats.join(final, group, "left"), xs).drop(*final.drop(group).columns)
+
+
+def _with_distance(df: DataFrame, xs: list[str]) -> DataFrame:
     """Forward substitution y = L^-1 (x - m); the distance is |y|^2."""
     names = []
     for i, x in enumerate(xs):
@@ -172,7 +235,7 @@ def _with_distance(df: DataFrame, xs: list[str], weight: str) -> DataFrame:
             y = y - _sum(F.col(f"l_{i}_{j}") * F.col(names[j]) for j in range(i))
         names.append(f"y_{i}")
         df = df.withColumn(names[-1], y / F.col(f"l_{i}_{i}"))
-    return df.withColumn("distance", _sum(F.col(y) * F.col(y) for y in names) * F.col(weight)).drop(*names)
+    return df.withColumn("distance", _sum(F.col(y) * F.col(y) for y in names)).drop(*names)
 
 
 def score_quality(
@@ -182,14 +245,17 @@ def score_quality(
     keys: tuple[str, str] = ("lang", "source"),
     min_group: int = 30,
     tail: float = 1e-6,
-    full_weight_words: int = 100,
+    scatter_words: int = 10,
 ) -> DataFrame:
     """One row per row of ``docs``: its id, counts, base_failed, distance and kept.
 
     Groups are (language, source); sources with fewer than ``min_group`` usable
     documents of a language are pooled within that language, and a pool that is
-    still smaller judges nobody. Null keys are a key of their own. kept is false
-    for base failures and for distances beyond the chi-square quantile 1 - ``tail``.
+    still smaller judges nobody, as a covariance of five statistics needs rows. Null
+    keys are a key of their own. kept is false for base failures and for distances
+    beyond the chi-square quantile 1 - ``tail``. A text of n words has its squared
+    distance multiplied by n / (n + ``scatter_words``), as its own shares and means
+    scatter more than those of the long texts that make up a group's covariance.
     Empty tables give no rows; repeated rows give repeated rows; columns besides
     those named are not read. ``_hash`` identifies the text for a later join.
     """
@@ -209,17 +275,17 @@ def score_quality(
         stats = stats.withColumn(name, x)
     stats = scratch.write(stats, "stats")
     sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").count()
-    sizes = scratch.write(sizes.where(F.col("count") >= min_group).select("_lang", "_source", F.lit(True).alias("_big")), "sizes")
+    sizes = _small(sizes.where(F.col("count") >= min_group).select("_lang", "_source", F.lit(True).alias("_big")), scratch, "sizes")
     stats = stats.join(sizes, ["_lang", "_source"], "left").select(
         "*",
         F.when(F.col("_big"), F.concat_ws("\x01", "_lang", "_source")).otherwise(F.col("_lang")).alias("_group"),
-        F.least(F.lit(1.0), F.col("n_words") / full_weight_words).alias("_weight"),
         (~F.col("base_failed")).alias("_usable"),
     )
-    far = mcd_distance(stats, scratch, "_group", list(FLOORS), "_usable", "_weight")
+    far = mcd_distance(stats, scratch, "_group", list(FLOORS), "_usable")
+    far = far.withColumn("distance", F.col("distance") * F.col("n_words") / (F.col("n_words") + scatter_words))
     enough = stats.where("_usable").groupBy("_group").count().where(F.col("count") >= min_group).select("_group", F.lit(True).alias("_enough"))
     limit = chi2_quantile(1 - tail, len(FLOORS))
-    out = far.join(scratch.write(enough, "enough"), "_group", "left").withColumn(
+    out = far.join(_small(enough, scratch, "enough"), "_group", "left").withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(F.col("_enough") & (F.col("distance") > limit), F.lit(False))
     )
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -91,25 +91,89 @@ def test_quality_rejects_outliers_only(spark):
     assert all(out[d].kept for d, *_ in good) and not any(out[d].kept for d, *_ in bad)
 
 
-def test_mcd_against_numpy(spark, docs):
-    from skarn.llm.common import Scratch, chi2_cdf, chi2_quantile
+def mcd_by_hand(x, floors, share=0.75):
+    """Squared distances of the rows of a matrix, by three starts, concentration until nothing changes, the least determinant and one reweighting."""
+    from skarn.llm.common import chi2_cdf, chi2_quantile
+
+    n, p = x.shape
+    f2 = np.diag(np.array(floors) ** 2)
+    at = lambda v, q: np.sort(v)[int(np.ceil(q * n)) - 1]
+    median = lambda v: at(np.floor(v * 4096 + 0.5), 0.5) / 4096
+    m = np.array([median(c) for c in x.T])
+    s = np.maximum(1.4826 * np.array([median(np.abs(c)) for c in (x - m).T]), floors)
+    z = (x - m) / s
+    far = lambda m, v: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
+    starts = [np.diag(s**2)]
+    for w in (np.tanh(z), z / np.sqrt(np.maximum((z**2).sum(1), 1e-12))[:, None]):
+        v = w.T @ w / n
+        d = np.sqrt(np.maximum(np.diag(v), 1e-6))
+        r = 0.99 * v / np.outer(d, d)
+        np.fill_diagonal(r, 1)
+        starts.append(r * np.outer(s, s))
+    best = None
+    for v in starts:
+        c, det = m, None
+        for _ in range(20):
+            bins = np.floor(np.log2(np.clip(far(c, v), 2.0**-30, 2.0**30)) * 64)
+            core = x[bins <= at(bins, share)]
+            c, v = core.mean(0), np.cov(core.T, bias=True) * share / chi2_cdf(chi2_quantile(share, p), p + 2) + f2
+            if det is not None and abs(np.linalg.slogdet(v)[1] - det) < 1e-9:
+                break
+            det = np.linalg.slogdet(v)[1]
+        if best is None or round(det, 9) < best[0]:
+            best = round(det, 9), c, v
+    inside = x[far(*best[1:]) <= chi2_quantile(0.975, p)]
+    return far(inside.mean(0), np.cov(inside.T, bias=True) * 0.975 / chi2_cdf(chi2_quantile(0.975, p), p + 2) + f2)
+
+
+def test_mcd_against_numpy(spark):
+    from skarn.llm.common import Scratch, chi2_quantile
 
     rng = np.random.default_rng(3)
-    x = rng.multivariate_normal([1, 2], [[1, 0.6], [0.6, 2]], 4000)
-    x[:300] += 12
-    df = spark.createDataFrame([("g", float(a), float(b), True, 1.0) for a, b in x], "grp string, p double, q double, ok boolean, w double")
-    got = sorted(r[0] for r in quality.mcd_distance(df, Scratch(spark, "t"), "grp", ["p", "q"], "ok", "w", {"p": 1e-6, "q": 1e-6}, steps=6).select("distance").collect())
-    m, s = np.median(x, 0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)) ** 2)
-    c = 0.75 / chi2_cdf(chi2_quantile(0.75, 2), 4)
-    for _ in range(6):
-        d = ((x - m) @ np.linalg.inv(s) * (x - m)).sum(1)
-        core = x[d <= np.quantile(d, 0.75)]
-        m, s = core.mean(0), np.cov(core.T, bias=True) * c
-    want = np.sort(((x - m) @ np.linalg.inv(s) * (x - m)).sum(1))
-    assert np.allclose(got, want, rtol=0.05, atol=0.02)
+    groups = {}
+    for k, g in enumerate("abc"):
+        x = rng.multivariate_normal([1, 2], [[1, 0.6 - 0.5 * k], [0.6 - 0.5 * k, 2]], 1500)
+        x[: 150 * (k + 1)] += (9, -7 * k)
+        groups[g] = x
+    df = spark.createDataFrame([(g, float(a), float(b), True) for g, x in groups.items() for a, b in x] + [("d", 1.0, 1.0, False)], "grp string, p double, q double, ok boolean").repartition(7)
+    out = quality.mcd_distance(df, Scratch(spark, "t"), "grp", ["p", "q"], "ok", {"p": 0.01, "q": 0.01})
+    assert out.where("grp = 'd'").first().distance is None
+    for g, x in groups.items():
+        got = sorted(r[0] for r in out.where(out.grp == g).select("distance").collect())
+        assert np.allclose(got, np.sort(mcd_by_hand(x, [0.01, 0.01])), rtol=1e-6)
     assert abs(chi2_quantile(0.95, 3) - 7.8147) < 1e-3
 
 
+def test_quality_verdicts_against_numpy(spark):
+    """kept over several groups: two sources, a pool of small ones, and one that is too small to judge."""
+    from skarn.llm.common import chi2_quantile
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(330):
+        lang, source = ("en", "ab"[i % 2]) if i < 200 else ("de", f"s{i % 5}") if i < 320 else ("fr", None)
+        words = prose(rng, rng.randint(12, 150)).split()
+        if i % 13 == 0:
+            words = [w + "#$" if rng.random() < i % 11 / 10 else w.upper() if rng.random() < i % 7 / 8 else w for w in words]
+        rows.append((i, " ".join(words) + "\n" * (i % 3) + " ".join(words[:6]), lang, source))
+    got = {r.doc_id: r.kept for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).collect()}
+    pools, want = {}, {}
+    for d, t, lang, source in rows:
+        w = tokens(t)
+        windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = len({j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+        lines, chars = [x for x in t.split("\n") if tokens(x)], sum(map(len, w))
+        x = [np.log(chars / len(w)), *(np.sqrt(n) for n in (len(re.findall(r"[#*$%&|<>]", t)) / chars, len(re.findall("[A-Z]", t)) / chars, (len(lines) - len(set(lines))) / len(lines), covered / len(w)))]
+        want[d] = 100 * covered <= 20 * len(w)
+        if want[d]:
+            pools.setdefault((lang, source if lang == "en" else ""), []).append((d, len(w), x))
+    for found in pools.values():
+        if len(found) >= 30:
+            for (d, n, _), far in zip(found, mcd_by_hand(np.array([x for *_, x in found]), [*quality.FLOORS.values()]), strict=True):
+                want[d] = far * n / (n + 10) <= chi2_quantile(1 - 1e-6, 5)
+    assert got == want and 5 < sum(not x for x in want.values()) < 150
+
+
 def test_quality_keeps_columns(docs, none):
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
