@@ -521,8 +521,9 @@ def test_dropout_draws_for_each_occurrence():
     assert len(cuts) > 10  # at most two in a whole corpus before
     # each candidate that comes up is skipped independently with the rate's probability
     n = 40_000
-    assert abs(sum(g > 0 for g in enc.gaps(5, n)) / n - 0.9) < 0.01 and abs(sum(g >= 8 for g in enc.gaps(6, n)) / n - 0.9**8) < 0.015
-    assert enc.gaps(5, 50) == [next(enc.more(5, p, 0)) for p in range(50)]
+    gaps = lambda text, n: enc.gaps(np.full(n, text, np.uint64), np.arange(n, dtype=np.uint64))
+    assert abs((gaps(5, n) > 0).mean() - 0.9) < 0.01 and abs((gaps(6, n) >= 8).mean() - 0.9**8) < 0.015
+    assert gaps(5, 50).tolist() == [next(enc.more(5, p, 0)) for p in range(50)]
 
 
 def test_dropout_equals_agenda_by_agenda():
