@@ -2,22 +2,26 @@
 
 P(text) is the product over its tokens of P(class | class before) P(word | class).
 
-The most frequent words are units of their own, and every other word starts in the
-unit of a hash of its last bytes and length. Exchange clustering gives each unit a
-class. Then every other word that occurs often enough moves, by the same exchange
-gain, to the class that fits the classes next to it; only rare words and words yet to
-come keep that of their hashed ending. Words' classes are a written table that grows
-with the vocabulary and meets the texts in a join. Counts cover the whole corpus: word counts in a written table, unit bigrams
-in per-task matrices of fixed size that are summed block by block. The unit
-matrix, whose size doesn't depend on the corpus, is where exchange clustering
-runs: words move one at a time to the class that raises the likelihood most.
+Words are counted over the whole corpus. The most frequent ones are the core, up to
+a number that bounds the model's tables (2**17 words); texts are written once as
+numbers of core words, with the hashes of the words outside the core beside them.
+Exchange clustering has three steps. The most frequent core words and hashed endings
+of all others are units of a matrix of fixed size, in which units move one at a time
+to the class that raises the likelihood most. Then all core words move, at the same
+time, by the same gain, from counts of the classes next to each; twice. Last, each word
+outside the core moves by the classes next to it, its gain taken to first order, as
+its few occurrences hardly change a class's counts. Only words that training never
+saw have the class of their hashed ending.
+
+Counts of fixed size are summed in each task and merged block by block in a tree of
+tasks; what grows with the vocabulary is a table that meets the texts in a join. A
+word outside the core makes up less than 1 in 2**17 of all tokens, so no key is hot.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partition_id, slices, table
+from .common import Scratch, partition_id, shuffle_partitions, slices, table
 
 #: The end of a text: its hash, shape, unit and class.
 END = 0
@@ -38,14 +42,16 @@ ADD = 0.1
 
 @dataclass(frozen=True)
 class Shape:
-    """Units for frequent words, units for endings, classes, the backing-off weight, and from how many occurrences on a word has a class of its own."""
+    """Units for frequent words, units for endings, classes (256 at most), the backing-off weight, passes of the exchange of units and of core words, the core's size, and from how many occurrences on a word outside the core has a class of its own."""
 
     words: int = 3072
     endings: int = 1023
     classes: int = 64
     weight: float = 100.0
     passes: int = 8
-    least: int = 5
+    core: int = 1 << 17
+    core_passes: int = 2
+    least: int = 1
 
     @property
     def units(self) -> int:
@@ -99,99 +105,218 @@ def word_counts(docs: DataFrame, shape: Shape) -> DataFrame:
     return rows.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
-class Units:
-    """Word to unit, with the answers of up to ``limit`` words kept."""
+def core_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, ending, n) of at most ``most`` words, most frequent first: all that occur at least as often as a bound, found from counts of counts."""
+    n = F.col("n")
+    bins = F.when(n < 1024, n).otherwise(1024 + F.floor(F.log2(n / 1024) * 64)).cast("long")
+    words = counts.where(F.col("h") != END)
+    have, least = 0, None
+    for r in sorted(words.groupBy(bins.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["bin"]):
+        have += r["words"]
+        if have > most:
+            break
+        least = r["least"]
+    rows = [] if least is None else words.where(n >= least).select("h", "ending", "n").toArrow().to_pylist()
+    rows.sort(key=lambda r: (-r["n"], r["h"]))
+    return tuple(np.array([r[k] for r in rows], np.int64) for k in ("h", "ending", "n"))
 
-    def __init__(self, core: dict[int, int], shape: Shape, limit: int = 300_000) -> None:
-        self.core, self.shape, self.limit = core, shape, limit
-        self.known: dict[bytes, int] = {}
 
-    def _find(self, words: list[bytes]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        for w in words:
-            if w not in self.known:
-                u = self.core.get(word_hash(w))
-                self.known[w] = 1 + self.shape.words + ending(w, self.shape.endings) if u is None else u
+def numbered(docs: DataFrame, core: np.ndarray, shape: Shape) -> DataFrame:
+    """(row, doc_id, held_out, ids, rare, endings) of each text: ids (32 bits each) are 0 for the end, the place of a core word from 1 on, and beyond the core the places in ``rare`` (hashes) and ``endings`` of the text's distinct other words."""
+    last = len(core)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.int64)
-        except KeyError:
-            self._find(words)
-            return np.array([known[w] for w in words], np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = dict(zip(core.tolist(), range(1, last + 1), strict=True))
+        known: dict[bytes, int] = {}
+        hashes, ends = [], []
+
+        def learn(words: list[bytes]) -> None:
+            if len(known) > 300_000:
+                known.clear()
+                hashes.clear()
+                ends.clear()
+            for w in words:
+                if w not in known:
+                    h = word_hash(w)
+                    if h in place:
+                        known[w] = place[h]
+                    else:
+                        hashes.append(h)
+                        ends.append(ending(w, shape.endings))
+                        known[w] = last + len(hashes)
 
+        row = partition_id() << 36
+        for batch in slices(batches, 256):
+            ids, rare, endings = [], [], []
+            for text in batch.column(2).to_pylist():
+                words = tokens(text)
+                try:
+                    u = np.array([known[w] for w in words], np.int64)
+                except KeyError:
+                    learn(words)
+                    u = np.array([known[w] for w in words], np.int64)
+                at = np.flatnonzero(u > last)
+                own, inverse = np.unique(u[at], return_inverse=True)
+                own = (own - last - 1).tolist()
+                u[at] = last + 1 + inverse
+                ids.append(np.append(u, END).astype("<u4").tobytes())
+                rare.append(np.array([hashes[k] for k in own], np.int64))
+                endings.append(np.array([ends[k] for k in own], "<u2").tobytes())
+            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*rare, np.empty(0, np.int64)])))
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, *batch.columns[:2], pa.array(ids, pa.binary()), lists, pa.array(endings, pa.binary())], names=["row", "doc_id", "held_out", "ids", "rare", "endings"])
 
-def unit_bigrams(docs: DataFrame, core: dict[int, int], shape: Shape, block: int = 64) -> np.ndarray:
-    """The matrix of unit bigram counts over the training texts, each text between two ends.
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, ids binary, rare array<long>, endings binary")
 
-    A task sums into a matrix of its own and sends it as compressed blocks of rows;
-    blocks are summed one after another where they meet, and the sums collected:
-    units x units numbers, whatever the corpus.
-    """
-    n = shape.units
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(core, shape)
-        total = np.zeros(n * n, np.int64)
-        held, have = [], 0
+class Tally:
+    """Sums of counts under many keys, an array of fixed size; sent as compressed blocks of keys."""
 
-        def add() -> None:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            total[keys] += counts
-            held.clear()
+    def __init__(self, size: int, block: int) -> None:
+        self.total, self.block = np.zeros(size, np.int32), block
+        self.held, self.have = [], 0
 
-        for batch in slices(batches, 512):
-            for text in batch.column(0).to_pylist():
-                u = np.concatenate([[END], units(tokens(text)), [END]]).astype(np.int64)
-                held.append(u[:-1] * n + u[1:])
-                have += len(u)
-            if have > 2_000_000:
-                add()
-                have = 0
-        if held:
-            add()
-        z = zstandard.ZstdCompressor(level=1)
-        for lo in range(0, n, block):
-            part = total[lo * n : (lo + block) * n]
-            at = np.flatnonzero(part)
-            if len(at):
-                raw = z.compress(np.diff(at, prepend=0).astype("<u4").tobytes() + part[at].astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([raw], pa.binary())], names=["lo", "size", "raw"])
-
-    def unpack(size: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        raw = zstandard.ZstdDecompressor().decompress(raw)
-        return np.cumsum(np.frombuffer(raw, "<u4", size), dtype=np.int64), np.frombuffer(raw, "<u8", size, 4 * size).astype(np.int64)
+    def add(self, *keys: np.ndarray) -> None:
+        self.held += keys
+        self.have += sum(map(len, keys))
+        if self.have > 2_000_000:
+            self.settle()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+    def settle(self) -> None:
+        if self.held:
+            keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
+            self.total[keys] += counts.astype(np.int32)
+            self.held, self.have = [], 0
 
-        def out() -> pa.RecordBatch:
-            at = np.flatnonzero(total)
-            raw = zstandard.ZstdCompressor(level=1).compress(np.diff(at, prepend=0).astype("<u4").tobytes() + total[at].astype("<u8").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([raw], pa.binary())], names=["lo", "size", "raw"])
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        for lo in range(0, len(self.total), self.block):
+            part = self.total[lo : lo + self.block]
+            if len(at := np.flatnonzero(part)):
+                yield packed(lo // self.block, partition_id(), at, part[at])
+
+
+def packed(lo: int, part: int, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    raw = zstandard.ZstdCompressor(level=1).compress(np.diff(at, prepend=0).astype("<u4").tobytes() + counts.astype("<u8").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([part], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([raw], pa.binary())], names=["lo", "part", "size", "raw"])
+
+
+def unpacked(size: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    return np.cumsum(np.frombuffer(raw, "<u4", size), dtype=np.int64), np.frombuffer(raw, "<u8", size, 4 * size).astype(np.int64)
 
+
+PACKED = "lo int, part int, size long, raw binary"
+
+
+def summed(parts: DataFrame, tasks: int, block: int, fan: int = 64) -> DataFrame:
+    """One row a block: the parts of up to ``fan`` tasks are summed in one place, then those sums, until each block is one."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
         for batch in batches:
-            for lo, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if lo != now:
+            for lo, part, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lo, part) != now:
                     if now is not None:
-                        yield out()
-                    now, total = lo, np.zeros(block * n, np.int64)
-                at, counts = unpack(size, raw)
+                        at = np.flatnonzero(total)
+                        yield packed(*now, at, total[at])
+                    now, total = (lo, part), np.zeros(block, np.int64)
+                at, counts = unpacked(size, raw)
                 total[at] += counts
         if now is not None:
-            yield out()
+            at = np.flatnonzero(total)
+            yield packed(*now, at, total[at])
+
+    while True:
+        tasks = -(-tasks // fan)
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int") if tasks > 1 else F.lit(0))
+        parts = parts.repartition("lo", "part").sortWithinPartitions("lo", "part").mapInArrow(merge, PACKED)
+        if tasks <= 1:
+            return parts
 
-    parts = docs.where("not held_out").select("text").mapInArrow(run, "lo int, size long, raw binary")
-    sums = parts.repartition("lo").sortWithinPartitions("lo").mapInArrow(merge, "lo int, size long, raw binary")
-    matrix = np.zeros((n + block) * n, np.int64)
-    for row in sums.toLocalIterator():
-        at, counts = unpack(row["size"], bytes(row["raw"]))
-        matrix[row["lo"] * n + at] += counts
+
+def class_ids(ids: np.ndarray, endings: bytes, of_core: np.ndarray, of_ending: np.ndarray) -> np.ndarray:
+    """What two tables say of core words and endings, for each token of a text."""
+    last = len(of_core) - 1
+    out = of_core[np.minimum(ids, last)]
+    at = ids > last
+    if at.any():
+        out[at] = of_ending[np.frombuffer(endings, "<u2")][ids[at] - last - 1]
+    return out
+
+
+def unit_bigrams(texts: DataFrame, unit_of: np.ndarray, shape: Shape, tasks: int, block: int = 1 << 18) -> np.ndarray:
+    """The matrix of unit bigram counts over the training texts, each text between two ends: units x units numbers, whatever the corpus."""
+    n = shape.units
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(n * n, block)
+        of_ending = np.arange(1 + shape.words, n)
+        for batch in slices(batches, 512):
+            for ids, endings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u = class_ids(np.frombuffer(ids, "<u4"), endings, unit_of, of_ending)
+                tally.add(np.append(END, u[:-1]) * n + u)
+        yield from tally.batches()
+
+    parts = texts.where("not held_out").select("ids", "endings").mapInArrow(run, PACKED)
+    matrix = np.zeros(-(-n * n // block) * block, np.int64)
+    for row in summed(parts, tasks, block).toLocalIterator():
+        at, counts = unpacked(row["size"], bytes(row["raw"]))
+        matrix[row["lo"] * block + at] += counts
     return matrix[: n * n].reshape(n, n)
 
 
+#: Core words of which the counts of classes next to them are one block.
+WORDS_A_BLOCK = 1024
+
+
+def move_core(texts: DataFrame, scratch: Scratch, of_core: np.ndarray, of_ending: np.ndarray, k: int, tasks: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of core words after all have moved at the same time, counts of class bigrams before)."""
+    last = len(of_core) - 1
+    block = WORDS_A_BLOCK * 2 * k
+    size = -(-(last + 1) // WORDS_A_BLOCK) * block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, pair = Tally(size, block), Tally(k * k, k * k)
+        for batch in slices(batches, 512):
+            for ids, endings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                c = class_ids(ids, endings, of_core, of_ending).astype(np.int64)
+                before, after = np.append(END, c[:-1]), np.append(c[1:], END)
+                own = np.flatnonzero((ids > END) & (ids <= last))
+                tally.add(ids[own] * (2 * k) + before[own], ids[own] * (2 * k) + k + after[own])
+                pair.add(before * k + c)
+        yield from tally.batches()
+        for row in pair.batches():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *row.columns[1:]], names=row.schema.names)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, counts = unpacked(size, raw)
+                total = np.zeros(block, np.int64)
+                total[at] = counts
+                words = np.arange(lo * WORDS_A_BLOCK, min((lo + 1) * WORDS_A_BLOCK, last + 1))
+                total = total.reshape(-1, 2, k)[: len(words)].astype(np.float64)
+                best = np.concatenate([best_classes(pair, of_core[words[i : i + 64]].astype(np.int64), total[i : i + 64, 0], total[i : i + 64, 1]) for i in range(0, len(words), 64)])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int32())], names=["word", "of"])
+
+    parts = texts.where("not held_out").select("ids", "endings").mapInArrow(run, PACKED)
+    sums = scratch.write(summed(parts, tasks, max(block, k * k)), name, "none")
+    pair = np.zeros(k * k)
+    for row in sums.where("lo = -1").collect():
+        at, counts = unpacked(row["size"], bytes(row["raw"]))
+        pair[at] = counts
+    pair = pair.reshape(k, k)
+    out = of_core.copy()
+    moved = sums.where("lo >= 0").mapInArrow(assign, "word long, of int").toArrow()
+    out[moved.column("word").to_numpy()] = moved.column("of").to_numpy()
+    out[END] = END
+    return out, pair
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -250,12 +375,13 @@ def exchange(counts: np.ndarray, k: int, passes: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """All of fixed size: classes of units, frequent words' units and counts, class masses and log10 transitions; and the written texts as classes."""
+    """All of fixed size: the core's hashes, counts and classes, classes of endings, class masses and log10 transitions; and the written texts as classes."""
 
     shape: Shape
-    core: dict[int, int]
+    core: np.ndarray
     core_counts: np.ndarray
-    classes: np.ndarray
+    of_core: np.ndarray
+    of_ending: np.ndarray
     mass: np.ndarray
     unknown: np.ndarray
     step: np.ndarray
@@ -282,93 +408,132 @@ def best_classes(pair: np.ndarray, now: np.ndarray, left: np.ndarray, right: np.
     return np.where(gain[m, best] > gain[m, now] + 1e-9 * np.abs(gain[m, now]), best, now)
 
 
-def assigned(docs: DataFrame, counts: DataFrame, core: dict[int, int], classes: np.ndarray, pair: np.ndarray, shape: Shape) -> DataFrame:
-    """(h, moved): the class of each word that is no unit of its own and occurs at least ``shape.least`` times."""
-    k = shape.classes
+def first_order(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a word gains in each class by a class before it, one after it, and by each of its occurrences."""
+    follow = np.log(pair + 1.0)
+    return follow, follow.T.copy(), np.log(pair.sum(1) + 1.0) + np.log(pair.sum(0) + 1.0)
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(core, shape)
-        local: dict[bytes, int] = {}
-        held, have = [], 0
 
-        def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            h = np.array([*map(word_hash, local)], np.int64)[keys // (k * k)]
-            held.clear()
-            local.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(keys % (k * k), pa.int32()), pa.array(n, pa.int64())], names=["h", "context", "k"])
+def rare_classes(texts: DataFrame, of_core: np.ndarray, of_ending: np.ndarray, pair: np.ndarray, shape: Shape, parts: int) -> DataFrame:
+    """(h, c, of): count and class of each word of the training texts outside the core."""
+    last, k = len(of_core) - 1, shape.classes
+    gain_before, gain_after, gain_each = first_order(pair)
 
-        for batch in slices(batches, 512):
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                u = np.concatenate([[END], units(words), [END]]).astype(np.int64)
-                at = np.flatnonzero(u > shape.words)
-                if len(at):
-                    c = classes[u]
-                    ids = np.array([local.setdefault(words[i], len(local)) for i in (at - 1).tolist()], np.int64)
-                    held.append((ids * k + c[at - 1]) * k + c[at + 1])
-                    have += len(at)
-                if have > 500_000:
-                    yield out()
-                    have = 0
-        if held:
-            yield out()
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            hashes = batch.column(2)
+            lists, cuts = hashes.flatten(), hashes.offsets.to_numpy()
+            around, counts, start = [], [], []
+            for ids, endings, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if lo == hi:
+                    continue
+                ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                c = class_ids(ids, endings, of_core, of_ending)
+                at = np.flatnonzero(ids > last)
+                at = at[np.argsort(ids[at], kind="stable")]
+                around.append(np.stack([np.where(at > 0, c[at - 1], END), c[at + 1]], 1).astype(np.uint8))
+                counts.append(np.bincount(ids[at] - last - 1, minlength=hi - lo))
+                start.append(of_ending[np.frombuffer(endings, "<u2")])
+            if counts:
+                n = np.concatenate(counts)
+                offsets = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
+                both = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(around).tobytes())])
+                yield pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate(start).astype(np.int16)), both], names=["h", "start", "around"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
-            seen = batch.column(2)
-            context, n = (x.to_numpy() for x in seen.flatten().flatten())
-            word = np.repeat(np.arange(batch.num_rows), np.diff(seen.offsets.to_numpy())) * k
-            left, right = (np.bincount(word + x, n, batch.num_rows * k).reshape(-1, k) for x in (context // k, context % k))
-            now = classes[batch.column(1).to_numpy() + 1 + shape.words]
-            best = best_classes(pair, now, left, right)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], names=["h", "moved"])
-
-    often = counts.where((F.col("n") >= shape.least) & (F.col("h") != END)).select("h", "ending")
-    seen = docs.where("not held_out").select("text").mapInArrow(contexts, "h long, context int, k long")
-    sums = seen.join(often, "h").groupBy("h", "ending", "context").agg(F.sum("k").alias("k"))
-    lists = sums.groupBy("h", "ending").agg(F.collect_list(F.struct("context", "k")).alias("seen"))
-    return lists.select("h", "ending", "seen").mapInArrow(assign, "h long, moved int")
+        rest = None  # the last word of a batch can go on in the next one
+
+        def done(h: np.ndarray, start: np.ndarray, before: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+            n = before.sum(1)
+            gain = before @ gain_before + after @ gain_after - n[:, None] * gain_each
+            gain[:, END] = -np.inf
+            best = np.where(n >= shape.least, gain.argmax(1), start)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64)), pa.array(best.astype(np.int32))], names=["h", "c", "of"])
+
+        for batch in slices(batches, 4096):  # sorted by h
+            h, start, around = (batch.column(i) for i in range(3))
+            h, start = h.to_numpy(), start.to_numpy()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            offsets = np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around) + 1]
+            seen = np.frombuffer(around.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 2)
+            group = np.repeat(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h)))), np.diff(offsets) // 2) * k
+            before, after = (np.bincount(group + seen[:, i], minlength=len(first) * k).reshape(-1, k).astype(np.float64) for i in (0, 1))
+            names, start = h[first], start[first]
+            if rest is not None:
+                if rest[0][0] == names[0]:
+                    before[0] += rest[2][0]
+                    after[0] += rest[3][0]
+                else:
+                    yield done(*rest)
+            if len(names) > 1:
+                yield done(names[:-1], start[:-1], before[:-1], after[:-1])
+            rest = names[-1:], start[-1:], before[-1:], after[-1:]
+        if rest is not None:
+            yield done(*rest)
+
+    rows = texts.where("not held_out").select("ids", "endings", "rare").mapInArrow(contexts, "h long, start short, around binary")
+    return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(assign, "h long, c long, of int")
 
 
 def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape()) -> tuple[Model, DataFrame]:
-    """The model, and the written table (h, c, of: count and class) of all training words."""
+    """The model, and the table (h, c, of: count and class) of all training words, the end included."""
+    if not 2 <= shape.classes <= 256:
+        raise ValueError("there can be 2 to 256 classes")
+    spark, k = scratch.spark, shape.classes
     counts = scratch.write(word_counts(docs, shape), "words", "lz4_raw")
-    top = counts.where(F.col("h") != END).orderBy(F.col("n").desc(), "h").limit(shape.words).collect()
-    core = {r["h"]: 1 + i for i, r in enumerate(top)}
-    core_counts = np.zeros(shape.units, np.int64)
-    core_counts[1 : 1 + len(top)] = [r["n"] for r in top]
-    matrix = unit_bigrams(docs, core, shape)
-    classes = exchange(matrix, shape.classes, shape.passes)
-    onehot = np.zeros((shape.units, shape.classes))
-    onehot[np.arange(shape.units), classes] = 1
-
-    moved = assigned(docs, counts, core, classes, onehot.T @ matrix @ onehot, shape)
-    inner = scratch.spark.createDataFrame([(h, int(classes[u])) for h, u in core.items()] or [(-1, -1)], "h long, fixed int")
-    by_ending = F.element_at(F.array(*[F.lit(int(c)) for c in classes[1 + shape.words :]]), F.col("ending") + 1)
-    of = F.coalesce("fixed", F.when(F.col("ending") < 0, END), "moved", by_ending)
-    words = scratch.write(counts.join(F.broadcast(inner), "h", "left").join(moved, "h", "left").select("h", F.col("n").alias("c"), of.alias("of")), "classes", "lz4_raw")
-    per_class = words.groupBy("of", (F.col("h") == END).alias("end")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once"))
-    mass, unknown = np.zeros(shape.classes), np.full(shape.classes, ADD)
-    total = distinct = ends = 0
-    for r in per_class.collect():
-        total += r["n"]
-        distinct += r["v"]
-        if r["end"]:
-            ends = r["n"]
-        else:
-            mass[r["of"]] += r["n"] + ADD * r["v"]
-            unknown[r["of"]] += r["once"]
+    core, core_ending, core_n = core_words(counts, shape.core)
+    texts = scratch.write(numbered(docs, core, shape), "numbers")
+    tasks = texts.rdd.getNumPartitions()
+    unit_of = np.concatenate([[END], np.arange(1, len(core) + 1)])
+    unit_of[1 + shape.words :] = 1 + shape.words + core_ending[shape.words :]
+    units = exchange(unit_bigrams(texts, unit_of, shape, tasks), k, shape.passes)
+    of_core, of_ending = units[unit_of].astype(np.uint8), units[1 + shape.words :].astype(np.uint8)
+    for i in range(shape.core_passes):
+        of_core, _ = move_core(texts, scratch, of_core, of_ending, k, tasks, f"core{i}")
+    own = texts.select("ids", "endings", "held_out")
+    pair = class_counts(own, of_core, of_ending, k)
+    rare = scratch.write(rare_classes(texts, of_core, of_ending, pair, shape, shuffle_partitions(spark)), "rare", "lz4_raw")
+
+    mass, unknown = np.zeros(k), np.full(k, ADD)
+    np.add.at(mass, of_core[1:], core_n + ADD)
+    np.add.at(unknown, of_core[1:][core_n == 1], 1)
+    total, distinct = int(core_n.sum()), len(core)
+    for r in rare.groupBy("of").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).collect():
+        mass[r["of"]] += r["n"] + ADD * r["v"]
+        unknown[r["of"]] += r["once"]
+        total, distinct = total + r["n"], distinct + r["v"]
+    ends = next((r["n"] for r in counts.where(F.col("h") == END).collect()), 0)
+    total, distinct = total + ends, distinct + (ends > 0)
     unknown[END] = 0
     mass += unknown
     mass[END] = ends + ADD
-    m = Model(shape, core, core_counts, classes, mass, unknown, np.zeros((shape.classes,) * 2), total, distinct, ends, docs)
-    m.texts = scratch.write(as_classes(docs, m, words), "texts")
-    pair = np.zeros((shape.classes, shape.classes))
-    for r in class_bigrams(m.texts, shape.classes).collect():
-        pair[r["a"] // shape.classes, r["a"] % shape.classes] = r["n"]
+    m = Model(shape, core, core_n, of_core, of_ending, mass, unknown, np.zeros((k, k)), total, distinct, ends, docs)
+    m.texts = scratch.write(as_classes(texts, m, rare), "texts")
+    scratch.drop("numbers")
+    pair = np.zeros((k, k))
+    for r in class_bigrams(m.texts, k).collect():
+        pair[r["a"] // k, r["a"] % k] = r["n"]
     m.step = np.log10((pair + shape.weight * mass / mass.sum()) / (pair.sum(1, keepdims=True) + shape.weight))
-    return m, words
+    inner = [*zip(core.tolist(), core_n.tolist(), of_core[1:].tolist(), strict=True), *([(END, ends, END)] if ends else [])]
+    return m, rare.union(spark.createDataFrame(inner, "h long, c long, of int"))
+
+
+def class_counts(texts: DataFrame, of_core: np.ndarray, of_ending: np.ndarray, k: int) -> np.ndarray:
+    """Counts of class bigrams in the training texts, words outside the core by their endings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in slices(batches, 512):
+            for ids, endings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c = class_ids(np.frombuffer(ids, "<u4"), endings, of_core, of_ending).astype(np.int64)
+                total += np.bincount(np.append(END, c[:-1]) * k + c, minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["a", "n"])
+
+    pair = np.zeros(k * k)
+    for r in texts.where("not held_out").select("ids", "endings").mapInArrow(run, "a int, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():
+        pair[r["a"]] = r["n"]
+    return pair.reshape(k, k)
 
 
 def class_bigrams(texts: DataFrame, k: int) -> DataFrame:
@@ -378,7 +543,7 @@ def class_bigrams(texts: DataFrame, k: int) -> DataFrame:
         total = np.zeros(k * k, np.int64)
         for batch in slices(batches, 512):
             for raw in batch.column(0).to_pylist():
-                c = np.frombuffer(raw, "<u2").astype(np.int64)
+                c = np.frombuffer(raw, np.uint8).astype(np.int64)
                 total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["a", "n"])
@@ -386,86 +551,58 @@ def class_bigrams(texts: DataFrame, k: int) -> DataFrame:
     return texts.where("not held_out").select("classes").mapInArrow(run, "a int, n long").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def as_classes(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, emitted and classes (16 bits each, between two ends) of each row.
+def as_classes(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, emitted and classes (8 bits each, between two ends) of each row.
 
-    Frequent words are scored where the text is. The distinct other words of a text
-    go, with their places, to where their counts and classes are; sums and the
-    classes that aren't their endings' come back. Such words are rare by definition,
-    so no key is hot. A text's own row travels under a hash of its place with count 0.
+    The distinct words outside the core that a text holds go, as hashes with their
+    places in its list, to where their counts and classes are, and those come back.
     """
     m = model
     floor = math.log10(m.total + ADD * (m.distinct + 1)) if m.total + m.distinct else math.log10(ADD)
-    emit_core = np.log10(np.maximum(m.core_counts + ADD, ADD)) - np.log10(m.mass)[m.classes]
-    base_core = np.log10(m.core_counts + ADD) - floor
-    base_core[END] = math.log10(m.ends + ADD) - floor
+    log_mass = np.log10(np.maximum(m.mass, 1e-300))
+    count = np.concatenate([[m.ends], m.core_counts])
+    base_core = np.log10(count + ADD) - floor
+    emit_core = np.log10(count + ADD) - log_mass[m.of_core]
     emit_core[END] = 0.0
-    last = m.shape.words
-    fixed = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    unseen = np.log10(np.maximum(m.unknown, 1e-300)) - log_mass
+    of_core, of_ending, ends, last = m.of_core, m.of_ending, m.ends, len(m.core)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(m_core, m_shape)
-        row = partition_id() << 36
-        names = ["row", "doc_id", "held_out", "h", "k", "cls", "n_tokens", "known", "base", "score", "raw"]
-        for batch in slices(batches, 32):
-            cols = [[] for _ in names]
-            for doc, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = tokens(text)
-                u = np.concatenate([[END], units(words), [END]]).astype(np.int64)
-                c = m_classes[u]
-                own = u[1:] <= last
-                mine = u[1:][own]
-                known = int((core_counts[mine] > 0).sum()) + (ends > 0)
-                values = (row, doc, out, (xxhash.xxh3_64_intdigest(b"row%d" % row) >> 1) | (1 << 62), 0, 0, len(u) - 1, known, float(base_core[mine].sum()), float(emit_core[mine].sum()), c.astype("<u2").tobytes())
-                for col, v in zip(cols, values, strict=True):
-                    col.append(v)
-                rare: dict[bytes, list[int]] = {}
-                for i in np.flatnonzero(~own).tolist():
-                    rare.setdefault(words[i], []).append(i + 1)
-                if rare:
-                    n = len(rare)
-                    of = [int(c[at[0]]) for at in rare.values()]
-                    places = [array("I", at).tobytes() for at in rare.values()]
-                    lengths = [len(at) for at in rare.values()]
-                    for col, vs in zip(cols, ([row] * n, [None] * n, [None] * n, map(word_hash, rare), lengths, of, [0] * n, [0] * n, [0.0] * n, [0.0] * n, places), strict=True):
-                        col.extend(vs)
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, fixed, strict=True)], names=names)
-
-    m_core, m_shape, m_classes, core_counts, ends = m.core, m.shape, m.classes, m.core_counts, m.ends
-    schema = "row long, doc_id long, held_out boolean, h long, k int, cls int, n_tokens long, known long, base double, score double, raw binary"
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
-    of = F.coalesce("of", "cls")
-    per_class = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in xs]), of + 1)
-    log_mass = np.log10(np.maximum(m.mass, 1e-300))
-    c = F.coalesce("c", F.lit(0))
-    base = F.col("k") * (F.log10(c + ADD) - floor)
-    emit = F.col("k") * (F.when(F.col("c").isNull(), per_class(np.log10(np.maximum(m.unknown, 1e-300)))).otherwise(F.log10(c + ADD)) - per_class(log_mass))
-    rare = F.col("k") > 0
-    found = rows.join(words, "h", "left").select(
-        "row", "doc_id", "held_out", "n_tokens", (F.col("known") + F.when(c > 0, F.col("k")).otherwise(0)).alias("known"),
-        (F.col("base") + F.when(rare, base).otherwise(0.0)).alias("base"), (F.col("score") + F.when(rare, emit).otherwise(0.0)).alias("score"),
-        F.when(~rare, F.col("raw")).alias("classes"), F.when(rare & (of != F.col("cls")), F.struct(of.alias("of"), F.col("raw").alias("at"))).alias("move"),
-    )
-    out = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.sum("score").alias("emitted"), F.first("classes", True).alias("classes"), F.collect_list("move").alias("moves"),
-    )
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            done = []
-            of, at = batch.column(7).flatten().flatten()
-            of, at = of.to_numpy(), at.to_pylist()
-            ends = np.cumsum(np.diff(batch.column(7).offsets.to_numpy())).tolist()
-            for raw, lo, hi in zip(batch.column(6).to_pylist(), [0, *ends], ends, strict=False):
-                c = np.frombuffer(raw, "<u2").copy()
-                c[np.frombuffer(b"".join(at[lo:hi]), "<u4")] = np.repeat(of[lo:hi], [len(x) // 4 for x in at[lo:hi]])
-                done.append(c.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(done, pa.binary())], names=[*batch.schema.names[:6], "classes"])
-
-    kept = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emitted"]
-    return out.select(*kept, "classes", "moves").mapInArrow(move, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, classes binary")
+        for batch in slices(batches, 256):
+            n_tokens, n_known, bases, scores, raw = [], [], [], [], []
+            found = batch.column(4)
+            at, c, of = (x.to_numpy() for x in found.flatten().flatten())
+            cuts = np.concatenate([[0], np.cumsum(found.value_lengths().fill_null(0).to_numpy())]).tolist()
+            for ids, endings, lo, hi in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                own = ids <= last
+                core = ids[own]
+                known, base, score = int((core > END).sum()) + (ends > 0), base_core[core].sum(), emit_core[core].sum()
+                cls = of_core[np.minimum(ids, last)]
+                if len(core) < len(ids):
+                    start = of_ending[np.frombuffer(endings, "<u2")].astype(np.int64)
+                    counts = np.zeros(len(start), np.int64)
+                    start[at[lo:hi]], counts[at[lo:hi]] = of[lo:hi], c[lo:hi]
+                    j = ids[~own] - last - 1
+                    cls[~own] = start[j]
+                    known += int((counts[j] > 0).sum())
+                    logs = np.log10(counts + ADD)
+                    base += (logs - floor)[j].sum()
+                    score += np.where(counts > 0, logs - log_mass[start], unseen[start])[j].sum()
+                n_tokens.append(len(ids))
+                n_known.append(known)
+                bases.append(float(base))
+                scores.append(float(score))
+                raw.append(b"\0" + cls.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64()), pa.array(raw, pa.binary())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emitted", "classes"],
+            )
+
+    asked = texts.select("row", F.posexplode("rare").alias("at", "h"))
+    found = asked.join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "of")).alias("found"))
+    both = texts.select("row", "doc_id", "held_out", "ids", "endings").join(found, "row", "left").select("doc_id", "held_out", "ids", "endings", "found")
+    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, classes binary")
 
 
 def score(model: Model) -> DataFrame:
@@ -474,7 +611,7 @@ def score(model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            cs = [np.frombuffer(raw, "<u2") for raw in batch.column(6).to_pylist()]
+            cs = [np.frombuffer(raw, np.uint8) for raw in batch.column(6).to_pylist()]
             total = [e + float(step[c[:-1], c[1:]].sum()) for e, c in zip(batch.column(5).to_pylist(), cs, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total, pa.float64())], names=[*batch.schema.names[:5], "score"])
 
