@@ -208,15 +208,39 @@ def test_line_dedup(spark, docs, rows, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
-def test_line_index_is_reversible(spark, docs):
-    index = linededup.LineIndex(spark)
+def index_state(index):
+    filters = {r["shard"]: linededup.CuckooFilter.from_bytes(bytes(r["filter"])) for r in index.filters.collect()}
+    return sorted(map(tuple, index.all_counts().collect())), sorted(map(tuple, index.references().collect())), {s: sorted(p for _, p in f.entries()) for s, f in filters.items() if f.entries()}  # where entries stand depends on a filter's room, which only grows
+
+
+def test_line_index_is_reversible(spark, docs, monkeypatch):
+    """Changes go to the stored counts and filters; taken back, they leave them as they were, also after the tables have been summed up."""
+    monkeypatch.setattr(linededup, "DELTAS", 3)
+    index = linededup.LineIndex(spark, min_docs=2)
     index.insert(docs.where("doc_id < 30"))
-    before = sorted(map(tuple, index.counts().collect()))
+    before = index_state(index)
     index.insert(docs.where("doc_id >= 30"))
+    after = index_state(index)
     index.insert(docs.where("doc_id >= 30"))
-    assert sorted(map(tuple, index.counts().collect())) != before
+    assert index_state(index) == after and after[0] != before[0] and after[2] != before[2]
     index.delete(docs.where("doc_id >= 30"))
-    assert sorted(map(tuple, index.counts().collect())) == before
+    assert index_state(index) == before
+    index.insert(docs.where("doc_id >= 30"))
+    assert index_state(index) == after and len(index.sums) <= 3
+    whole = linededup.LineIndex(spark, min_docs=2)
+    whole.insert(docs)
+    assert index_state(whole)[:2] == after[:2]
+    assert sorted(map(tuple, whole.doomed().selectExpr("doc", "sort_array(keys)").collect())) == sorted(map(tuple, index.doomed().selectExpr("doc", "sort_array(keys)").collect()))
+
+
+def test_probes_where_shards_meet(spark, docs, rows, monkeypatch):
+    """Filters too large to send: the same lines pass."""
+    index = linededup.LineIndex(spark, shard_keys=1)
+    index.insert(docs)
+    sent = sorted(map(tuple, index.passed().collect()))
+    monkeypatch.setattr(linededup, "SENT_BYTES", 0)
+    monkeypatch.setattr(linededup, "PROBED", 10)
+    assert sorted(map(tuple, index.passed().collect())) == sent and sent
 
 
 def test_cuckoo_filter():
@@ -226,7 +250,13 @@ def test_cuckoo_filter():
     assert f.probe(keys).all()
     others = rng.integers(0, 2**63, 100_000, dtype=np.uint64)
     assert f.probe(others).mean() < 0.001
-    assert f.delete(int(keys[0])) and f.probe(keys[1:]).all()
+    before = f.entries()
+    more = rng.integers(0, 2**63, 5_000, dtype=np.uint64)
+    assert f.insert(more) and f.probe(more).all() and f.probe(keys).all()
+    assert f.delete(more) and f.entries() == before and f.probe(keys).all()
+    assert f.delete(keys[:1]) and f.probe(keys[1:]).all() and not f.delete(others[~f.probe(others)][:1])
+    full = linededup.CuckooFilter(16)
+    assert not full.insert(keys[:65])
 
 
 # near duplicates
