@@ -27,6 +27,8 @@ WINDOW = 5
 BROADCAST_ROWS = 50_000
 #: Steps of a quantile's bins: of medians and deviations, and a doubling of a distance.
 FINE, PER_DOUBLING = 4096, 64
+#: Change of a determinant's logarithm below which an estimate has settled.
+SETTLED = 1e-4
 STARTS = ("deviations", "tanh", "signs")
 
 
@@ -194,8 +196,8 @@ def mcd_distance(
 
     From each of three starts, a concentration step keeps the rows whose distance is
     at most the group's ``share`` quantile (in bins of 1/64 of a doubling) and
-    re-estimates mean and covariance from them, until no determinant changes (at most
-    ``max_steps`` times). A group's estimate is that of the smallest determinant,
+    re-estimates mean and covariance from them, until the logarithm of the determinant
+    changes by less than 1e-4 (at most ``max_steps`` times). A group's estimate is that of the smallest determinant,
     re-estimated once from all rows within the chi-square quantile 0.975. The square
     of a statistic's floor is added to its variance in every estimate, so a
     statistic that doesn't vary has one.
@@ -208,17 +210,24 @@ def mcd_distance(
     rows = stats.where(F.col(usable)).select(group, *xs)
     consistency = lambda q: q / chi2_cdf(chi2_quantile(q, p), p + 2)  # noqa: E731 - of a truncated normal's covariance
     keys = [group, "start"]
-    est = _small(_starts(rows, scratch, group, xs, floors), scratch, "start")
+    active = _small(_starts(rows, scratch, group, xs, floors), scratch, "start")
+    settled = []
     for k in range(max_steps):
         low, high = 2.0**-30, 2.0**30
-        far = _with_distance(rows.join(est, group), xs).withColumn("bin", F.floor(F.log2(F.least(F.greatest("distance", F.lit(low)), F.lit(high))) * PER_DOUBLING))
+        far = _with_distance(rows.join(active, group), xs).withColumn("bin", F.floor(F.log2(F.least(F.greatest("distance", F.lit(low)), F.lit(high))) * PER_DOUBLING))
         cut = _small(_lowest_bin(far, keys, "bin", share), scratch, f"cut{k}")
         core = far.join(cut, keys).where(F.col("bin") <= F.col("cut"))
-        new = _small(_estimate(core, keys, xs, floors, consistency(share)), scratch, f"step{k}")
-        moved = new.select(*keys, F.col("det").alias("new")).join(est.select(*keys, "det"), keys).agg(F.max(F.abs(F.col("new") - F.col("det")))).first()[0]
-        est = new
-        if moved is None or moved < 1e-9:
+        new = _estimate(core, keys, xs, floors, consistency(share)).join(active.select(*keys, F.col("det").alias("was")), keys)
+        new = scratch.write(new.withColumn("settled", F.abs(F.col("det") - F.col("was")) < SETTLED).drop("was"), f"step{k}")
+        settled.append(new.where("settled").drop("settled"))
+        rest = new.where("not settled").drop("settled")
+        left = rest.count()
+        if not left:
             break
+        active = F.broadcast(rest) if left <= BROADCAST_ROWS else rest
+    else:
+        settled.append(rest)
+    est = reduce(DataFrame.union, settled)
     best = est.groupBy(group).agg(F.min(F.struct(F.round("det", 9).alias("det"), "start")).alias("b")).select(group, F.col("b.start").alias("start"))
     best = _small(est.join(best, keys), scratch, "best").drop("start")
     inside = _with_distance(rows.join(F.broadcast(best), group) if best.count() <= BROADCAST_ROWS else rows.join(best, group), xs).where(F.col("distance") <= chi2_quantile(0.975, p))
