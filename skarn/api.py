@@ -34,6 +34,7 @@ class Engine:
         self.catalog = Catalog(self.spark, base_dir, case_sensitive)
         self.case_sensitive = case_sensitive
         self._views: set[str] = set()
+        self._named: set[str] = set()
         self._serial = 0
 
     @classmethod
@@ -49,17 +50,20 @@ class Engine:
 
     def sql(self, text: str, params: dict[str, Any] | list[Any] | None = None) -> DataFrame:
         """The result of one statement, lazily. Parameters are ``?`` (a list) or ``:name`` (a dict)."""
+        self._named = set()
         done = Rewriter(self._names(params)).rewrite(text)
         if params is not None:
             _check_parameters(params)
         args = {} if params is None else {"args": params}
         try:
-            df = self.spark.sql(done.text, **args)
+            return self._unique(self.spark.sql(done.text, **args))
         except AnalysisException:
-            if done.inline is None:
-                raise
-            df = self.spark.sql(done.inline, **args)
-        return self._unique(df)
+            for other in done.others():
+                try:
+                    return self._unique(self.spark.sql(other, **args))
+                except AnalysisException:  # noqa: S112 - the first form's error is the one to show
+                    continue
+            raise
 
     def batch(self, text: str, params: Iterable[dict[str, Any] | list[Any]]) -> list[DataFrame]:
         """The same statement with each set of parameters."""
@@ -129,13 +133,15 @@ class Engine:
             if schema and any(s.lower() == schema.lower() for s in self.catalog.schemas()):
                 raise ValueError(f"no table {schema}.{name}")
             return None
+        self._named.add(found.view)
         if found.view not in self._views:
             self._register(found.view, self.catalog.frame(found))
         return found.view
 
     def _known_columns(self) -> Iterable[tuple[str, Any]]:
+        """Columns of the tables that the statement has named so far."""
         for t in self.catalog.tables:
-            if t.view in self._views:
+            if t.view in self._named:
                 for f in self.catalog.frame(t).schema.fields:
                     yield f.name, f.dataType
 
@@ -160,7 +166,11 @@ class Engine:
         args = {} if params is None else {"args": params}
         start = self.spark.sql(seed, **args)
         start = start.toDF(*columns) if columns else start
-        folder = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skarn-")
+        folder = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+        if not folder:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="skarn-")
         steps = [lambda q=q: self.spark.sql(q, **args) for q in rest[:-1]]
         out = iterate(self.spark, start, steps, name, rest[-1] == "UNION", folder)
         self.spark.catalog.dropTempView(name)

@@ -9,15 +9,33 @@ import re
 from collections.abc import Callable
 
 
+#: A name, a literal or a lambda's variable: may stand in a text more than once.
+SIMPLE = re.compile(r"(?:[\w$]+|`[^`]*`)(?:\.(?:[\w$]+|`[^`]*`))*|'(?:[^'\\]|\\.)*'|-?\d+(?:\.\d*)?", re.S)
+
+
+def bound(make: Callable[..., str], *args: str) -> str:
+    """``make`` of arguments that it may use more than once: one that is more than a name or literal is evaluated once, as a lambda's variable."""
+    costly = [i for i, x in enumerate(args) if not SIMPLE.fullmatch(x)]
+    if not costly:
+        return make(*args)
+    shown = [f"v_.a{i}" if i in costly else x for i, x in enumerate(args)]
+    fields = ", ".join(f"'a{i}', {args[i]}" for i in costly)
+    return f"transform(array(named_struct({fields})), v_ -> {make(*shown)})[0]"
+
+
 def concat(*a: str) -> str:
     """Skips nulls; null if all are."""
-    cast = [f"CAST({x} AS STRING)" for x in a]
-    return f"CASE WHEN coalesce({', '.join(cast)}) IS NULL THEN NULL ELSE concat_ws('', {', '.join(cast)}) END"
+
+    def make(*a: str) -> str:
+        cast = [f"CAST({x} AS STRING)" for x in a]
+        return f"CASE WHEN coalesce({', '.join(cast)}) IS NULL THEN NULL ELSE concat_ws('', {', '.join(cast)}) END"
+
+    return bound(make, *a)
 
 
 def trunc(x: str, scale: str = "0") -> str:
     """Toward zero; a negative scale truncates before the decimal point."""
-    return f"(sign({x}) * floor(abs({x}) * power(10, {scale})) / power(10, {scale}))"
+    return bound(lambda x, scale: f"(sign({x}) * floor(abs({x}) * power(10, {scale})) / power(10, {scale}))", x, scale)
 
 
 def code_points(*a: str) -> str:
@@ -27,17 +45,18 @@ def code_points(*a: str) -> str:
 
 def soundex(s: str) -> str:
     """Letter, then three digits: vowels don't separate equal codes, the first letter's own code is dropped."""
-    letters = f"regexp_replace(upper({s}), '[^A-Z]', '')"
-    coded = f"translate({letters}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000')"
-    tight = f"regexp_replace(regexp_replace({coded}, '0', ''), '(.)\\\\1+', '$1')"
-    own = f"translate(substring({letters}, 1, 1), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000')"
-    rest = f"CASE WHEN {own} <> '0' THEN substring({tight}, 2) ELSE {tight} END"
-    return f"CASE WHEN {letters} = '' THEN '' ELSE concat(substring({letters}, 1, 1), substring(rpad({rest}, 3, '0'), 1, 3)) END"
+    codes = "'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000'"
+
+    def make(letters: str) -> str:
+        tight = f"regexp_replace(regexp_replace(translate({letters}, {codes}), '0', ''), '(.)\\\\1+', '$1')"
+        rest = f"CASE WHEN translate(substring({letters}, 1, 1), {codes}) <> '0' THEN substring({tight}, 2) ELSE {tight} END"
+        return f"CASE WHEN {letters} = '' THEN '' ELSE concat(substring({letters}, 1, 1), substring(rpad({rest}, 3, '0'), 1, 3)) END"
+
+    return bound(make, f"regexp_replace(upper({s}), '[^A-Z]', '')")
 
 
 def difference(a: str, b: str) -> str:
-    x, y = soundex(a), soundex(b)
-    return "(" + " + ".join(f"CAST(substring({x}, {i}, 1) = substring({y}, {i}, 1) AS INT)" for i in range(1, 5)) + ")"
+    return bound(lambda x, y: "(" + " + ".join(f"CAST(substring({x}, {i}, 1) = substring({y}, {i}, 1) AS INT)" for i in range(1, 5)) + ")", soundex(a), soundex(b))
 
 
 def regexp_like(s: str, p: str, flags: str | None = None) -> str:
@@ -45,13 +64,13 @@ def regexp_like(s: str, p: str, flags: str | None = None) -> str:
     if flags is None:
         return f"regexp_like({s}, {p})"
     letters = f"regexp_replace(translate(lower({flags}), 'n', 's'), '[^imsx]', '')"
-    return f"regexp_like({s}, CASE WHEN {letters} = '' THEN {p} ELSE concat('(?', {letters}, ')', {p}) END)"
+    return bound(lambda s, p, letters: f"regexp_like({s}, CASE WHEN {letters} = '' THEN {p} ELSE concat('(?', {letters}, ')', {p}) END)", s, p, letters)
 
 
 def log(a: str, b: str | None = None) -> str:
     if b is None:
         return f"ln({a})"
-    return f"CASE WHEN {a} > 0 AND {a} <> 1 AND {b} > 0 THEN log({a}, {b}) END"
+    return bound(lambda a, b: f"CASE WHEN {a} > 0 AND {a} <> 1 AND {b} > 0 THEN log({a}, {b}) END", a, b)
 
 
 def json_value(doc: str, path: str) -> str:
@@ -59,7 +78,7 @@ def json_value(doc: str, path: str) -> str:
 
 
 def json_query(doc: str, path: str) -> str:
-    return f"to_json(variant_get(parse_json({doc}), {path}))"
+    return f"to_json(variant_get(try_parse_json({doc}), {path}))"
 
 
 def grouping(*a: str) -> str:
@@ -111,7 +130,7 @@ CALLS: dict[str, Callable[..., str]] = {
     "REGEXP_LIKE": regexp_like,
     "TRUNC": trunc,
     "TRUNCATE": trunc,
-    "SQRT": lambda x: f"CASE WHEN {x} >= 0 THEN sqrt({x}) END",
+    "SQRT": lambda x: bound(lambda x: f"CASE WHEN {x} >= 0 THEN sqrt({x}) END", x),
     "MOD": lambda a, b: f"try_mod({a}, {b})",
     "POW": lambda a, b: f"power({a}, {b})",
     "LOG": log,

@@ -15,8 +15,8 @@ def system_sample(df: DataFrame, percent: float, seed: int | None = None) -> Dat
     """Every k-th row, k = round(100 / percent), from a start below k that the seed gives.
 
     Rows are numbered in scan order without moving them: each partition's size is
-    counted (a number a partition comes to the driver), and its first number is the
-    sum of those before it.
+    counted (a number a partition comes to the driver), and its first number, the sum
+    of those before it, goes back as a row a partition: 16 bytes for each split of the input.
     """
     if percent <= 0:
         return df.limit(0)
@@ -31,11 +31,11 @@ def system_sample(df: DataFrame, percent: float, seed: int | None = None) -> Dat
         total += sizes.get(p, 0)
     if not firsts:
         return df
-    mask = (1 << PLACE_BITS) - 1
     place = F.monotonically_increasing_id()
-    first = F.element_at(F.array(*[F.lit(firsts[p]) for p in sorted(firsts)]), F.shiftright(place, PLACE_BITS).cast("int") + 1)
-    number = place.bitwiseAND(F.lit(mask)) + first - start
-    return df.withColumn("_number", number).where((F.col("_number") >= 0) & (F.col("_number") % step == 0)).drop("_number")
+    first = df.sparkSession.createDataFrame(sorted(firsts.items()), "_part int, _first long")
+    own = df.withColumn("_place", place).withColumn("_part", F.shiftright("_place", PLACE_BITS).cast("int"))
+    number = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + F.col("_first") - start
+    return own.join(F.broadcast(first), "_part").withColumn("_number", number).where((F.col("_number") >= 0) & (F.col("_number") % step == 0)).select(*[f"`{c}`" for c in df.columns])
 
 
 def fixed_sample(df: DataFrame, rows: float, seed: int | None = None) -> DataFrame:

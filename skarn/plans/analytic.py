@@ -78,6 +78,8 @@ WINDOWS = [
     Query("w21_default_frame", "SELECT p_partkey, COUNT(*) OVER (PARTITION BY p_brand ORDER BY p_size) AS peers, COUNT(*) OVER (PARTITION BY p_brand) AS every FROM part"),
     Query("w23_named", f"SELECT o_orderkey, RANK() OVER w AS r, LAST_VALUE(o_orderkey) IGNORE NULLS OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY {O})", f"SELECT o_orderkey, CAST(RANK() OVER w AS INTEGER) AS r, LAST_VALUE(o_orderkey IGNORE NULLS) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY {O})"),
     Query("w24_order_of_work", "SELECT DISTINCT n_regionkey, COUNT(*) OVER (PARTITION BY n_regionkey) AS n FROM nation WHERE n_nationkey > 3 ORDER BY n_regionkey LIMIT 3"),
+    Query("w27_only_in_order", "SELECT n_name FROM nation ORDER BY RANK() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC), n_regionkey DESC LIMIT 7",
+          "SELECT n_name FROM (SELECT n_name, n_regionkey, rank() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS r FROM nation) ORDER BY r, n_regionkey DESC LIMIT 7"),
     Query("w25_over_groups", "SELECT n_regionkey AS k, COUNT(*) AS n, RANK() OVER (ORDER BY COUNT(*) DESC, n_regionkey) AS r FROM nation GROUP BY n_regionkey",
           "SELECT n_regionkey AS k, COUNT(*) AS n, CAST(RANK() OVER (ORDER BY COUNT(*) DESC, n_regionkey) AS INTEGER) AS r FROM nation GROUP BY n_regionkey"),
     Query("w26_nested", "SELECT p_partkey, CASE WHEN RANK() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1 THEN 'first' ELSE 'later' END AS c, 100 * COUNT(*) OVER (PARTITION BY p_brand) + 1 AS x FROM part"),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .spec import Query
 
 T3 = "(VALUES (1, 10), (2, NULL), (NULL, 30), (4, 40)) AS t(a, b)"
-ACME = "(VALUES (1, 'Per', 1), (2, 'Karin', 1), (3, 'Tage', 2), (4, 'Arne', 3), (5, 'Sixten', 3), (6, 'Eva', NULL)) AS e(id, name, dept)"
-DEPT = "(VALUES (1, 'IT'), (2, 'HR'), (3, 'Sales'), (4, 'Legal')) AS d(id, department)"
+CREW = "(VALUES (1, 'Ada', 10), (2, 'Bo', 10), (3, 'Cy', 20), (4, 'Dee', 30), (5, 'Eli', 30), (6, 'Fay', NULL)) AS e(id, name, dept)"
+DECKS = "(VALUES (10, 'Bridge'), (20, 'Galley'), (30, 'Engine'), (40, 'Hold')) AS d(id, deck)"
+
 
 SCANS = [
     Query("s1_scan", "SELECT * FROM nation"),
@@ -19,11 +20,11 @@ SCANS = [
     Query("s5_values_statement", "VALUES (1, 'a', 2.5), (2, NULL, 3.5)", "SELECT * FROM (VALUES (1, 'a', 2.5), (2, NULL, 3.5)) AS t(column1, column2, column3)"),
     Query("s5_values_from", "SELECT v.id, v.label, n.n_name FROM (VALUES (1, 'one'), (2, 'two')) AS v(id, label) JOIN nation n ON n.n_nationkey = v.id"),
     Query("s5_values_unnamed", "SELECT column1, column2 FROM (VALUES (1, 'x'), (2, 'y')) AS v", "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) AS t(column1, column2)"),
-    Query("s6_unnest", "SELECT e.vec_id, u.x FROM embeddings e CROSS JOIN UNNEST(e.embedding) AS u(x) WHERE e.vec_id < 40", "SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE vec_id < 40"),
+    Query("s6_unnest", "SELECT e.vec_id, u.x FROM embeddings e CROSS JOIN UNNEST(e.embedding) AS u(x)", "SELECT vec_id, unnest(embedding) AS x FROM embeddings"),
     Query("s6_unnest_left", "SELECT p.id, u.tag FROM (SELECT 1 AS id, ARRAY['a', 'b'] AS tags UNION ALL SELECT 2, CAST(NULL AS ARRAY<STRING>)) AS p LEFT JOIN UNNEST(p.tags) AS u(tag) ON TRUE",
           "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, NULL)) AS t(id, tag)"),
-    Query("s7_ordinality", "SELECT e.vec_id, u.x, u.pos FROM embeddings e CROSS JOIN UNNEST(e.embedding) WITH ORDINALITY AS u(x, pos) WHERE e.vec_id < 40",
-          "SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS pos FROM embeddings WHERE vec_id < 40"),
+    Query("s7_ordinality", "SELECT e.vec_id, u.x, u.pos FROM embeddings e CROSS JOIN UNNEST(e.embedding) WITH ORDINALITY AS u(x, pos)",
+          "SELECT vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS pos FROM embeddings"),
     Query("s8_unnest_literal", "SELECT x, x * x AS sq FROM UNNEST(ARRAY[3, 1, 2]) AS u(x)", "SELECT x, x * x AS sq FROM (VALUES (3), (1), (2)) AS u(x)"),
     Query("s9_table_unnest", "SELECT v.model, g.gear, g.pos FROM (SELECT 'Coupe' AS model, ARRAY[3, 4, 5] AS gears UNION ALL SELECT 'Truck', ARRAY[3, 4]) AS v CROSS JOIN TABLE(UNNEST(v.gears) WITH ORDINALITY) AS g(gear, pos)",
           "SELECT * FROM (VALUES ('Coupe', 3, 1), ('Coupe', 4, 2), ('Coupe', 5, 3), ('Truck', 3, 1), ('Truck', 4, 2)) AS t(model, gear, pos)"),
@@ -32,6 +33,8 @@ SCANS = [
     Query("s11_derived", "SELECT d.seg, d.n FROM (SELECT c_mktsegment, COUNT(*) FROM customer GROUP BY c_mktsegment) AS d(seg, n) WHERE d.n > 10"),
     Query("s12_sample_system", "SELECT COUNT(*) AS n FROM lineitem TABLESAMPLE SYSTEM (50 PERCENT) REPEATABLE (7)", "SELECT CAST(count(*) / 2 AS BIGINT) AS n FROM lineitem"),
     Query("s13_sample_bernoulli", "SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE BERNOULLI (10) REPEATABLE (7)", None),
+    Query("s13_bernoulli_share", "SELECT (SELECT COUNT(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE BERNOULLI (10) REPEATABLE (7) EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE BERNOULLI (10) REPEATABLE (7)) AS t) AS differing, (SELECT COUNT(*) FROM lineitem TABLESAMPLE BERNOULLI (10) REPEATABLE (7)) BETWEEN (SELECT COUNT(*) FROM lineitem) * 0.08 AND (SELECT COUNT(*) FROM lineitem) * 0.12 AS near",
+          "SELECT CAST(0 AS BIGINT) AS differing, TRUE AS near"),
     Query("s14_sample_rows", "SELECT COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS d FROM orders TABLESAMPLE (100 ROWS) REPEATABLE (7)", "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS d"),
     Query("s15_repeatable", "SELECT COUNT(*) AS n FROM (SELECT o_orderkey FROM orders TABLESAMPLE (50 ROWS) REPEATABLE (3) EXCEPT SELECT o_orderkey FROM orders TABLESAMPLE (50 ROWS) REPEATABLE (3)) AS t", "SELECT CAST(0 AS BIGINT) AS n"),
     Query("s16_info_tables", "SELECT TABLE_SCHEMA AS s, TABLE_TYPE AS t, COUNT(*) AS n FROM INFORMATION_SCHEMA.TABLES GROUP BY TABLE_SCHEMA, TABLE_TYPE", "SELECT 'PUBLIC' AS s, 'BASE TABLE' AS t, CAST(14 AS BIGINT) AS n"),
@@ -60,11 +63,15 @@ PROJECTIONS = [
     Query("p13_ilike", "SELECT r_name FROM region WHERE r_name ILIKE 'a%' OR r_name ILIKE '%EAST'"),
     Query("p14_similar", "SELECT r_name FROM region WHERE r_name SIMILAR TO '(AS|EU)%' OR r_name SIMILAR TO 'A[FM]_+ICA'", "SELECT r_name FROM region WHERE regexp_full_match(r_name, '(AS|EU).*') OR regexp_full_match(r_name, 'A[FM].+ICA')"),
     Query("p14_not_similar", "SELECT r_name FROM region WHERE r_name NOT SIMILAR TO '%A'", "SELECT r_name FROM region WHERE NOT regexp_full_match(r_name, '.*A')"),
+    Query("p14_similar_column", "SELECT r.r_name, p.pat FROM region r JOIN (VALUES ('(AS|EU)%', 1), ('A_IA', 2), ('%A', 3), ('[B-M]%', 4), ('50!%', 5)) AS p(pat, k) ON r.r_name SIMILAR TO p.pat ESCAPE '!'",
+          "SELECT r.r_name, p.pat FROM region r JOIN (VALUES ('(AS|EU)%', '(AS|EU).*'), ('A_IA', 'A.IA'), ('%A', '.*A'), ('[B-M]%', '[B-M].*'), ('50!%', '50%')) AS p(pat, re) ON regexp_full_match(r.r_name, p.re)"),
+    Query("p14_similar_end", "SELECT t.x FROM (VALUES ('ASIA'), ('ASIA\n'), ('EASIA')) AS t(x) WHERE t.x SIMILAR TO 'ASIA'", "SELECT 'ASIA' AS x"),
     Query("p15_regexp_like", "SELECT r_name FROM region WHERE REGEXP_LIKE(r_name, '^a.*a$', 'i')", "SELECT r_name FROM region WHERE regexp_matches(r_name, '^a.*a$', 'i')"),
     Query("p16_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)"),
     Query("p16_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
     Query("p17_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
     Query("p17_not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    Query("p17_not_in_nulls", f"SELECT a FROM {T3} WHERE a NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 2) OR a NOT IN (SELECT b FROM {T3.replace('AS t(', 'AS u(')})", "SELECT * FROM (VALUES (1), (2)) AS t(a)"),
     Query("p18_any", "SELECT s_suppkey FROM supplier WHERE s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)"),
     Query("p18_all", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT s_acctbal FROM supplier)"),
     Query("p18_some_equal", "SELECT n_name FROM nation WHERE n_regionkey = SOME (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')"),
@@ -72,6 +79,8 @@ PROJECTIONS = [
     Query("p18_reversed", "SELECT r_name FROM region WHERE ALL (SELECT n_nationkey FROM nation WHERE n_nationkey > 2) > r_regionkey", "SELECT r_name FROM region WHERE r_regionkey < 3"),
     Query("p18_empty", "SELECT r_name FROM region WHERE r_regionkey > ALL (SELECT n_nationkey FROM nation WHERE n_nationkey < 0) AND NOT r_regionkey > ANY (SELECT n_nationkey FROM nation WHERE n_nationkey < 0)", "SELECT r_name FROM region"),
     Query("p19_scalar_subquery", "SELECT c.c_custkey, (SELECT MAX(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c WHERE c.c_acctbal > (SELECT AVG(c_acctbal) FROM customer)"),
+    Query("p19_alias_in_subquery", "SELECT n_regionkey AS grp, (SELECT COUNT(*) FROM nation m WHERE m.n_regionkey = grp) AS members FROM nation mc ORDER BY grp, n_name", "SELECT n_regionkey AS grp, count(*) OVER (PARTITION BY n_regionkey) AS members FROM nation"),
+    Query("p18_equal_all", "SELECT r_name FROM region WHERE r_regionkey = ALL (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') OR r_regionkey <> ANY (SELECT 1)", "SELECT r_name FROM region WHERE r_regionkey = (SELECT max(r_regionkey) FROM region WHERE r_name = 'ASIA') OR r_regionkey <> 1"),
     Query("p20_case", "SELECT p_partkey, CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS simple, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS searched FROM part"),
     Query("p21_distinct", "SELECT DISTINCT p_brand, p_size % 3 AS m FROM part"),
     Query("p22_qualifier", "SELECT l.l_orderkey FROM lineitem l WHERE l.l_linenumber = 7"),
@@ -92,9 +101,9 @@ JOINS = [
     Query("j1_inner", "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 250000"),
     Query("j1_theta", "SELECT a.n_name AS x, b.r_name AS y FROM nation a JOIN region b ON a.n_nationkey < b.r_regionkey AND a.n_regionkey <> b.r_regionkey"),
     Query("j2_comma", "SELECT s.s_name, n.n_name, r.r_name FROM supplier s, nation n, region r WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_name = 'EUROPE'"),
-    Query("j3_left", f"SELECT e.name, d.department FROM {ACME} LEFT JOIN {DEPT} ON e.dept = d.id"),
-    Query("j4_right", f"SELECT e.name, d.department FROM {ACME} RIGHT OUTER JOIN {DEPT} ON e.dept = d.id"),
-    Query("j5_full", f"SELECT e.name, d.department FROM {ACME} FULL OUTER JOIN {DEPT} ON e.dept = d.id"),
+    Query("j3_left", f"SELECT e.name, d.deck FROM {CREW} LEFT JOIN {DECKS} ON e.dept = d.id"),
+    Query("j4_right", f"SELECT e.name, d.deck FROM {CREW} RIGHT OUTER JOIN {DECKS} ON e.dept = d.id"),
+    Query("j5_full", f"SELECT e.name, d.deck FROM {CREW} FULL OUTER JOIN {DECKS} ON e.dept = d.id"),
     Query("j6_cross", "SELECT a.r_name AS x, b.r_name AS y FROM region a CROSS JOIN region b"),
     Query("j7_self", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey"),
     Query("j8_using", "SELECT k, a.x, b.y FROM (VALUES (1, 'a'), (2, 'b'), (NULL, 'n')) AS a(k, x) JOIN (VALUES (2, 'p'), (3, 'q'), (NULL, 'm')) AS b(k, y) USING (k)"),

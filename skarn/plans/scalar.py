@@ -70,6 +70,9 @@ DATES = [
     Query("d8_interval_arithmetic", "SELECT o_orderkey, o_orderdate + INTERVAL '1' DAY AS a, o_orderdate - INTERVAL '2' MONTH AS b, CAST('2024-02-28' AS DATE) + INTERVAL '1' DAY AS c FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 DAY AS a, o_orderdate - INTERVAL 2 MONTH AS b, DATE '2024-02-29' AS c FROM orders"),
     Query("d9_difference", "SELECT EXTRACT(DAY FROM DATE '2024-03-01' - DATE '2024-02-01') AS a, TIMESTAMP '2024-03-01 12:00:00' - TIMESTAMP '2024-02-29 12:00:00' = INTERVAL '1' DAY AS b", "SELECT 29 AS a, TRUE AS b"),
     Query("d10_interval_literals", "SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '2 03:04:05' DAY TO SECOND AS a, DATE '2024-01-01' + INTERVAL '1-2' YEAR TO MONTH AS b", "SELECT TIMESTAMP '2024-01-03 03:04:05' AS a, DATE '2025-03-01' AS b"),
+    Query("d12_epoch_millis", "SELECT o_orderkey, CAST(o_orderkey * 86400000 AS DATE) AS d, CAST(CAST(o_orderkey * 86400000 + 1500 AS TIMESTAMP) AS STRING) AS t FROM orders",
+          "SELECT o_orderkey, DATE '1970-01-01' + CAST(o_orderkey AS INTEGER) AS d, strftime(epoch_ms(o_orderkey * 86400000 + 1500), '%Y-%m-%d %H:%M:%S.5') AS t FROM orders"),
+    Query("n4_once", "SELECT COUNT(*) AS n FROM lineitem WHERE SQRT(RAND() - 0.5) = CAST('NaN' AS DOUBLE)", "SELECT CAST(0 AS BIGINT) AS n"),
     Query("d11_cast", "SELECT CAST('true' AS BOOLEAN) AS a, CAST('abcdef' AS VARCHAR(3)) AS b, CAST(12 AS TEXT) AS c, CAST('7' AS int2) AS d, CAST('8' AS int4) AS e, CAST(9 AS int8) AS f, CAST('1.5' AS float8) AS g, CAST('2.345' AS DECIMAL(5, 2)) AS h, CAST('2024-02-29' AS DATE) AS i, CAST(5 AS signed) AS j",
           "SELECT TRUE AS a, 'abc' AS b, '12' AS c, CAST(7 AS SMALLINT) AS d, 8 AS e, CAST(9 AS BIGINT) AS f, CAST(1.5 AS DOUBLE) AS g, CAST('2.345' AS DECIMAL(5, 2)) AS h, DATE '2024-02-29' AS i, CAST(5 AS BIGINT) AS j"),
     Query("d11_cast_time", "SELECT CAST(CAST('12:30:05' AS TIME) AS VARCHAR(20)) AS t", "SELECT '12:30:05' AS t"),
