@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -383,7 +384,10 @@ def test_packing(docs, rows, none):
             assert r.offset == at
             at += r.length
         assert at <= 256 and len(parts) <= 6 and sum(r.loss_tokens for r in parts) <= 200
-        waste += 0 if at & (at - 1) == 0 else 256 - at
+        waste += at & (at - 1) != 0 and sum(r.loss_tokens for r in parts) < 200 and len(parts) < 6
+    assert waste <= 2 * docs.rdd.getNumPartitions() < len(sequences) / 2  # padded though no limit is reached: only what a task has left at its end
+    plain = packing.pack_texts(docs, P.path("byte_bpe_50k.json"), limits=packing.Limits()).groupBy("sequence_id").sum("length").collect()
+    assert sum(0 if r[1] & (r[1] - 1) == 0 else 1024 - r[1] for r in plain) == 0
     assert packing.pack_texts(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -403,12 +407,11 @@ def test_packing_whole_examples(spark):
 
 
 @pytest.mark.parametrize("bits", [False, True])
-def test_plane_files(spark, docs, rows, none, bits):
-    from skarn.llm.common import Scratch
-
+def test_plane_files(spark, docs, rows, none, bits, tmp_path):
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    files = planes.write_planes(docs, Scratch(spark, "t"), P.path("word_bpe_49k.json"), bits=bits, file_ids=3000)
-    got = sorted(((r.start, r.n_tokens, r.ids_crc32, r.doc_id) for r in planes.read_planes(files).collect()), key=lambda r: r[0])
+    path = str(tmp_path / "files")
+    planes.write_planes(docs, path, P.path("word_bpe_49k.json"), bits=bits, file_ids=3000)
+    got = sorted(((r.start, r.n_tokens, r.ids_crc32, r.doc_id) for r in planes.read_planes(spark, path).collect()), key=lambda r: r[0])
     want = Counter((d, len(x := own.encode(t or "", add_special_tokens=False).ids + [1]), zlib.crc32(np.array(x, "<u4").tobytes())) for d, t, *_ in rows)
     assert Counter((d, n, c) for _, n, c, d in got) == want
     at, ids = 0, []
@@ -416,18 +419,29 @@ def test_plane_files(spark, docs, rows, none, bits):
         assert start == at
         at += n
         ids.append(-1 if d is None else d)
-    assert ids == sorted(ids) and files.count() > 1
-    assert planes.read_planes(planes.write_planes(none, Scratch(spark, "t"), P.path("word_bpe_49k.json"))).count() == 0
+    files = sorted(p for p in os.listdir(path) if p.startswith("part-"))
+    assert ids == sorted(ids) and len(files) > 1
+    # by ranges: the trailer, the footer and the blocks that hold the ids
+    f = planes.PlaneFile.open(spark, f"{path}/{files[0]}")
+    assert f.n_ids == sum(f.lengths) and f.doc_ids[0] in {d for d, *_ in want}
+    x = np.array(own.encode(dict((d, t) for d, t, *_ in rows)[f.doc_ids[1]] or "", add_special_tokens=False).ids + [1])
+    assert (f.ids(int(f.lengths[0]), int(f.lengths[0] + f.lengths[1])) == x).all()
+    planes.write_planes(none, path, P.path("word_bpe_49k.json"))
+    assert planes.read_planes(spark, path).count() == 0
 
 
 def test_plane_file_random_access():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 200_000).astype("<u2")
     for bits in (False, True):
-        f = planes.PlaneFile(planes.write_file([1, None], [150_000, 50_000], ids, bits))
-        assert (f.ids(65_000, 140_000) == ids[65_000:140_000]).all() and f.doc_ids == [1, None] and len(f.ids(5, 5)) == 0
-    with pytest.raises(ValueError):
-        planes.PlaneFile(b"nothing at all")
+        content, asked = planes.write_file([1, None], [150_000, 50_000], ids, bits, part=3, seq=4), []
+        f = planes.PlaneFile(lambda at, n: asked.append(n) or content[at : at + n], len(content))  # noqa: B023
+        assert (f.part, f.seq, f.n_ids) == (3, 4, 200_000) and sum(asked) < 1000
+        assert (f.ids(65_000, 65_100) == ids[65_000:65_100]).all() and f.doc_ids == [1, None] and len(f.ids(5, 5)) == 0 and sum(asked) < len(content) / 2
+        assert (f.ids(65_000, 140_000) == ids[65_000:140_000]).all()
+    for bad in (b"nothing at all", b"SKPL" + bytes(100)):
+        with pytest.raises(ValueError):
+            planes.PlaneFile.of(bad)
 
 
 def test_chunk_encoders_equal_whole_encodes():
