@@ -3,9 +3,10 @@
 ARC files (versions 1 and 2) are parsed record by record from their header lines
 and declared lengths; WARC records get synthesised identifiers, timestamps, types
 and digests. Heads and payloads are bytes throughout, whatever their encoding. Files
-are written by Spark's text writer, one row a record (of bytes cast to a string, which
-it writes as they are), and read whole by Spark's binary reader, so any store that Spark reaches will do. A file is
-decompressed as a stream; one record is in memory at a time.
+are written by Spark's text writer, one row a file of bounded size (bytes cast to a
+string, which it writes as they are), and read whole by Spark's binary reader, so any
+store that Spark reaches will do. A file is decompressed as a stream; one record is
+in memory at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -36,6 +37,8 @@ ARC_TITLES = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_HEADER = "X-Page-Id"
+#: A file ends with the record that brings it to so many bytes; one record is never cut.
+FILE_BYTES = 16 << 20
 #: Field of a revisit record (an extension, which readers may ignore): the size of the payload that it leaves out.
 PAYLOAD_BYTES = "X-Payload-Bytes"
 
@@ -51,10 +54,9 @@ def arc_version_block(version: int, date: str, name: str) -> str:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain{extra} {len(body.encode())}\n{body}"
 
 
-def arc_record(version: int, url: str, ip: str, date: str, mime: str, body: str, offset: int, name: str) -> str:
-    n = len(body.encode("utf-8", "surrogatepass"))
+def arc_record(version: int, url: str, ip: str, date: str, mime: str, body: bytes, offset: int, name: str) -> bytes:
     extra = f" 200 - - {offset} {name}" if version == 2 else ""
-    return f"{url} {ip} {date} {mime}{extra} {n}\n{body}"
+    return f"{url} {ip} {date} {mime}{extra} {len(body)}\n".encode("utf-8", "surrogatepass") + body
 
 
 def read_arc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,7 +147,7 @@ def read_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "content")
 
 
 def _stream(content: bytes) -> BinaryIO:
@@ -154,50 +156,76 @@ def _stream(content: bytes) -> BinaryIO:
 
 
 def _write(df: DataFrame, path: str, end: str) -> None:
-    df.write.mode("overwrite").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", end).text(path)
+    """A file a row."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", end).text(path)
+
+
+class Roll:
+    """Joins records to files of bounded size, each with a head of its own."""
+
+    def __init__(self, head: Callable[[str], bytes], kind: str, end: bytes, most: int) -> None:
+        self.head, self.kind, self.end, self.most, self.count = head, kind, end, most, 0
+        self.start()
+
+    def start(self) -> None:
+        self.name = f"part-{partition_id():05d}-{self.count:05d}.{self.kind}"
+        self.records = [self.head(self.name)]
+        self.size = len(self.records[0]) + len(self.end)
+
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        self.records.append(record)
+        self.size += len(record) + len(self.end)
+        if self.size >= self.most:
+            yield self.file()
+
+    def file(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([self.end.join(self.records)], pa.binary())], names=["value"])  # the writer adds the last end
+        self.count += 1
+        self.start()
+        return out
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if len(self.records) > 1:
+            yield self.file()
 
 
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
-    """A legacy archive per partition, versions 1 and 2 in turn, with a row of ``pages`` (page_id, url, html) a record."""
+    """Legacy archives, of versions 1 and 2 by turns, with a row of ``pages`` (page_id, url, html) a record. Without rows there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = partition_id()
-        version, name, at = 1 + part % 2, f"part-{part:05d}.arc", 0
-        head = [arc_version_block(version, date, name)]
+        version = 1 + partition_id() % 2
+        roll = Roll(lambda name: arc_version_block(version, date, name).encode(), "arc", b"\n", FILE_BYTES)
         for batch in slices(batches, 256):
-            out = head
             for key, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                html = html or ""
-                size = len(html.encode("utf-8", "surrogatepass"))
+                body = (html or "").encode("utf-8", "surrogatepass")
                 own = "" if key is None else f"{PAGE_HEADER}: {key}\r\n"
-                body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {size}\r\n\r\n{html}"
-                out.append(arc_record(version, _clean(url, key), "0.0.0.0", date, "text/html", body, at, name))
-                at += len(out[-1]) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-            head = []
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(body)}\r\n\r\n"
+                yield from roll.add(arc_record(version, _clean(url, key), "0.0.0.0", date, "text/html", head.encode() + body, roll.size, roll.name))
+        yield from roll.rest()
 
-    _write(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value string"), path, "\n")
+    _write(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value binary").select(F.col("value").cast("string")), path, "\n")
 
 
-ARC_ROWS = "page_id long, url string, date string, mime string, head string, payload binary, size long, sha1 string"
+ARC_ROWS = "page_id long, place string, url string, date string, mime string, head string, payload binary, size long, sha1 string"
 
 
 def arc_rows(files: DataFrame, with_payload: bool) -> DataFrame:
-    """The records of ARC files: page_id, url, date, mime, HTTP head, payload, its size and digest."""
+    """The records of ARC files (path, content): page_id, place (its file and number there), url, date, mime, HTTP head, payload, its size and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
             names = [x.split()[0] for x in ARC_ROWS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in slices(batches, 1):
             rows, size = [], 0
-            for fields, body in read_arc(_stream(batch.column(0)[0].as_py())):
+            file = batch.column(0)[0].as_py().rsplit("/", 1)[-1]
+            for number, (fields, body) in enumerate(read_arc(_stream(batch.column(1)[0].as_py()))):
                 head, payload = split_http(body)
                 key = http_field(head, PAGE_HEADER)
                 digest = hashlib.sha1(payload).hexdigest()
-                rows.append((None if key is None else int(key), fields["url"], fields["date"], fields["mime"], head, payload if with_payload else None, len(payload), digest))
+                rows.append((None if key is None else int(key), f"{file}:{number}", fields["url"], fields["date"], fields["mime"], head, payload if with_payload else None, len(payload), digest))
                 size += len(payload) * with_payload
                 if len(rows) >= 1024 or size > 8 << 20:
                     yield out()
@@ -220,23 +248,23 @@ def convert(arcs: DataFrame, path: str, min_bytes: int = 1000) -> None:
         .where("copies > 1").drop("copies")
     )
     rows = arc_rows(arcs, True).join(keeper, ["sha1", "size"], "left")
-    rows = rows.select("page_id", "url", "date", "mime", "head", "payload", "size", "sha1", "keeper", "keeper_url", "keeper_date")
+    rows = rows.select("page_id", "place", "url", "date", "mime", "head", "payload", "size", "sha1", "keeper", "keeper_url", "keeper_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"part-{partition_id():05d}.warc"
-        head = [warc_record("warcinfo", [("WARC-Record-ID", warc_id(name)), ("WARC-Date", warc_date("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: skarn\r\nformat: WARC File Format 1.1\r\n")]
+        info = b"software: skarn\r\nformat: WARC File Format 1.1\r\n"
+        head = lambda name: warc_record("warcinfo", [("WARC-Record-ID", warc_id(name)), ("WARC-Date", warc_date("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info)
+        roll = Roll(head, "warc", b"\r\n\r\n", FILE_BYTES)
         for batch in slices(batches, 256):
-            out = head
-            for key, url, date, mime, http, payload, size, sha1, keeper, k_url, k_date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fields = [("WARC-Record-ID", warc_id(url, date, key)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", "sha1:" + b32(sha1))]
+            for key, place, url, date, mime, http, payload, size, sha1, keeper, k_url, k_date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = warc_id(url, date, place) if key is None else warc_id(url, date, key)
+                fields = [("WARC-Record-ID", own), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", "sha1:" + b32(sha1))]
                 fields.append(("Content-Type", "application/http; msgtype=response" if http else mime))
                 if key is None or keeper is None or key == keeper:
-                    out.append(warc_record("response" if http else "resource", fields, http.encode("latin-1") + payload))
+                    yield from roll.add(warc_record("response" if http else "resource", fields, http.encode("latin-1") + payload))
                 else:
                     fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", warc_id(k_url, k_date, keeper)), ("WARC-Refers-To-Target-URI", k_url), ("WARC-Refers-To-Date", warc_date(k_date)), (PAYLOAD_BYTES, str(size))]
-                    out.append(warc_record("revisit", fields, http.encode("latin-1")))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-            head = []
+                    yield from roll.add(warc_record("revisit", fields, http.encode("latin-1")))
+        yield from roll.rest()
 
     _write(rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")), path, "\r\n\r\n")
 
@@ -251,7 +279,7 @@ def warc_rows(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows = []
-            for fields, block in read_warc(_stream(batch.column(0)[0].as_py())):
+            for fields, block in read_warc(_stream(batch.column(1)[0].as_py())):
                 kind = fields["warc-type"]
                 if kind not in ("response", "resource", "revisit"):
                     continue
