@@ -4,7 +4,10 @@ Candidates are stored by dimension. For a block of queries, scores accumulate on
 block of dimensions at a time. The norms of what remains of query and candidate
 bound the rest of a score (Cauchy-Schwarz); a candidate whose upper bound is below
 the k-th best lower bound is dropped, and the survivors are compacted before the
-next dimensions are read. All arithmetic is on integers that doubles hold exactly.
+next dimensions are read. A query takes its k-th best score along from one candidate
+block to the next. Blocks are laid out once, with their norms, and only read where
+they meet. Sums are exact: doubles where they hold every sum of two blocks, else
+64-bit integers, else integers of any size; only bounds are rounded, upwards.
 """
 
 from __future__ import annotations
@@ -20,81 +23,94 @@ from .common import Scratch, shuffle_partitions, slices, table
 
 #: Rows of one candidate block, of one query block, and dimensions accumulated at a time.
 CANDIDATES, QUERIES, DIMS = 2048, 256, 16
-EXACT = 2.0**53
+#: Sums below this are exact in doubles, and below that in 64-bit integers.
+EXACT, LONG = 2.0**53, 2.0**63
 
 
-class VerticalBlock:
-    """Integer vectors of one length, by dimension, with the norms of their tails."""
+def tails(x: np.ndarray, dims: int) -> np.ndarray:
+    """Norms of what is left of each row from each block of dimensions on, rounded up."""
+    if not x.shape[1]:
+        return np.zeros((len(x), 1))
+    left = np.cumsum(np.add.reduceat(x * x, np.arange(0, x.shape[1], dims), axis=1)[:, ::-1], axis=1)[:, ::-1]
+    return np.hstack([np.sqrt(left) * (1 + 1e-9), np.zeros((len(x), 1))])
+
+
+class Block:
+    """Vectors of one length: their ids in order, components by dimension, and the norms of their tails."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int = DIMS) -> None:
+    def __init__(self, ids: np.ndarray, columns: np.ndarray, tails_: np.ndarray, dims: int = DIMS) -> None:
+        self.ids, self.columns, self.tails, self.dims = ids, columns, tails_, dims
+        self.largest = float(np.abs(columns).max(initial=0))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray, dims: int = DIMS) -> Block:
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.columns = np.ascontiguousarray(vectors[order].T)  # dimension by candidate
-        self.dims = dims
-        self.tails = _tails(vectors[order], dims)
+        return cls(ids[order], np.ascontiguousarray(vectors[order].T), tails(vectors[order], dims), dims)
 
 
-def _tails(x: np.ndarray, dims: int) -> np.ndarray:
-    """Norms of what is left from each block of dimensions on, rounded up."""
-    sq = np.add.reduceat(x * x, np.arange(0, x.shape[1], dims), axis=1) if x.shape[1] else np.zeros((len(x), 0))
-    left = np.cumsum(sq[:, ::-1], axis=1)[:, ::-1]
-    return np.hstack([np.sqrt(left) * (1 + 1e-9), np.zeros((len(x), 1))])
+def as_exact(x: np.ndarray, largest: float) -> np.ndarray:
+    """Components in a type that sums up to ``largest`` are exact in."""
+    if largest < EXACT:
+        return x
+    return x.astype(np.int64) if largest < LONG else np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, block: VerticalBlock, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score): for each query its k best candidates of the block, ties to smaller ids."""
+def search_block(queries: Block, block: Block, k: int, known: dict[int, float] | None = None) -> list[tuple[int, int, int]]:
+    """(query id, candidate id, score): for each query its k best candidates of the block, ties to smaller ids.
+
+    ``known`` has by the query's place a score that k candidates of other blocks reach:
+    candidates that stay below it may be left out, and it is raised.
+    """
     out = []
-    d = queries.shape[1]
-    tails = _tails(queries, block.dims)
-    first = min(block.dims, d)
-    start = queries[:, :first] @ block.columns[:first]  # the first dimensions of all pairs at once
-    for q in range(len(queries)):
-        alive = None
-        score = start[q]
-        bound_c = block.tails
-        at, step = first, 1
-        ids, cols = block.ids, block.columns
-        own = np.flatnonzero(ids == query_ids[q])
-        if len(own):
-            alive = np.flatnonzero(ids != query_ids[q])
+    known = {} if known is None else known
+    d, dims = queries.columns.shape[0], block.dims
+    most = max(1.0, d * max(1.0, queries.largest) * max(1.0, block.largest))
+    q_all, cols_all = as_exact(queries.columns.T, most), as_exact(block.columns, most)
+    rounding = 0.0 if most < EXACT else most * 2.0**-50  # of scores taken as doubles for bounds
+    first = min(dims, d)
+    start = q_all[:, :first] @ cols_all[:first]  # the first dimensions of all pairs at once
+    for q, query in enumerate(queries.ids.tolist()):
+        score, alive, at, step = start[q], None, first, 1
+        if (own := np.flatnonzero(block.ids == query)).size:
+            alive = np.delete(np.arange(len(block.ids)), own)
             score = score[alive]
-        while True:
+        while len(score):
             n = len(score)
-            if n > k and at < d:
-                slack = tails[q, step] * (bound_c[:, step] if alive is None else bound_c[alive, step])
-                floor = np.partition(score - slack, n - k)[n - k]
-                keep = np.flatnonzero(score + slack >= floor)
-                if len(keep) < n:
-                    alive = keep if alive is None else alive[keep]
-                    score = score[keep]
-            if at >= d:
+            approx = score.astype(np.float64)
+            slack = queries.tails[q, step] * (block.tails[:, step] if alive is None else block.tails[alive, step]) + rounding
+            floor = known.get(q, -np.inf)
+            if n > k:
+                floor = max(floor, np.partition(approx - slack, n - k)[n - k])
+            keep = np.flatnonzero(approx + slack >= floor)
+            if len(keep) < n:
+                alive = keep if alive is None else alive[keep]
+                score = score[keep]
+            if at >= d or not len(score):
                 break
-            end = min(at + block.dims, d)
-            part = cols[at:end] if alive is None else cols[at:end, alive]
-            score = score + queries[q, at:end] @ part
+            end = min(at + dims, d)
+            part = cols_all[at:end] if alive is None else cols_all[at:end, alive]
+            score = score + q_all[q, at:end] @ part
             at, step = end, step + 1
-        names = ids if alive is None else ids[alive]
-        if len(score) > k:
-            low = np.partition(score, len(score) - k)[len(score) - k]
-            keep = np.flatnonzero(score >= low)
-            names, score = names[keep], score[keep]
-        best = np.lexsort((names, -score))[:k]
-        out += [(int(query_ids[q]), int(names[b]), int(score[b])) for b in best]
+        names = block.ids if alive is None else block.ids[alive]
+        scores = [int(x) for x in score]
+        best = sorted(range(len(scores)), key=lambda b: (-scores[b], names[b]))[:k]
+        if len(best) == k:
+            known[q] = max(known.get(q, -np.inf), float(scores[best[-1]]) - rounding)
+        out += [(query, int(names[b]), scores[b]) for b in best]
     return out
 
 
 def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks (dims, n, ids, data) of up to ``size`` vectors of one length each, within partitions."""
+    """Blocks of up to ``size`` vectors of one length each, within partitions: ids, components by dimension and tails, laid out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
             ids, xs = held.pop(dim)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(xs).astype("<f8").tobytes()], pa.binary())],
-                names=["dim", f"{name}_ids", f"{name}_data"],
-            )
+            b = Block.of(np.array(ids, np.int64), np.concatenate(xs).reshape(len(ids), dim))
+            raw = [b.ids.astype("<i8").tobytes(), b.columns.astype("<f8").tobytes(), b.tails.astype("<f8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["dim", f"{name}_ids", f"{name}_data", f"{name}_tails"])
 
         for batch in batches:
             lists = batch.column(1)
@@ -111,7 +127,7 @@ def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.mapInArrow(run, f"dim int, {name}_ids binary, {name}_data binary")
+    return rows.mapInArrow(run, f"dim int, {name}_ids binary, {name}_data binary, {name}_tails binary")
 
 
 def quantise(x: Column) -> Column:
@@ -128,7 +144,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     itself. Empty vectors are vectors of
     length 0. Vectors are gathered in blocks; every query block meets every candidate
     block of its length, so the pairs that Spark sees are pairs of blocks. Rows
-    that repeat are separate candidates. Components too large for exact sums are an error.
+    that repeat are separate candidates. A score that no 64-bit integer holds is an error.
     """
     scratch = Scratch(queries.sparkSession, "topk")
     some = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where("vec_id is not null and vector is not null")
@@ -140,18 +156,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     pairs = q.withColumn("qg", own("q_ids")).withColumn("cg", every).join(c.withColumn("cg", own("c_ids")).withColumn("qg", every), ["dim", "qg", "cg"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}  # a query block meets its candidate blocks one after another
         for batch in slices(batches, 1):
             dim = batch.column(0)[0].as_py()
-            get = lambda i, kind: np.frombuffer(batch.column(i)[0].as_py(), kind)  # noqa: E731, B023
-            q_ids, c_ids = get(1, "<i8"), get(3, "<i8")
-            qs, cs = get(2, "<f8").reshape(len(q_ids), dim), get(4, "<f8").reshape(len(c_ids), dim)
-            if dim * max(1.0, np.abs(qs).max(initial=0)) * max(1.0, np.abs(cs).max(initial=0)) >= EXACT:
-                raise ValueError("components are too large for exact sums")
-            rows = search_block(qs, q_ids, VerticalBlock(c_ids, cs), k)
+
+            def block(i: int) -> Block:
+                ids, data, norms = (np.frombuffer(batch.column(i + k)[0].as_py(), kind) for k, kind in ((0, "<i8"), (1, "<f8"), (2, "<f8")))  # noqa: B023
+                return Block(ids, data.reshape(dim, len(ids)), norms.reshape(len(ids), -1))  # noqa: B023
+
+            mine = block(1)
+            if now is None or (dim, mine.ids.tobytes()) != now:
+                now, known = (dim, mine.ids.tobytes()), {}
+            rows = search_block(mine, block(4), k, known)
+            if rows and max(abs(r[2]) for r in rows) >= 1 << 63:
+                raise ValueError("a score is too large for a 64-bit integer")
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("dim", "q_ids", "q_data", "c_ids", "c_data").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("dim", "q_ids", "q_data", "q_tails", "c_ids", "c_data", "c_tails").mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -105,8 +105,8 @@ def test_markup(source, text):
 
 
 def test_arc_versions():
-    v1 = archive.arc_version_block(1, "20000101000000", "f") + "\n" + archive.arc_record(1, "http://a/b c", "1.2.3.4", "20010203040506", "text/html", "HTTP/1.0 200 OK\n\nbødy", 0, "f") + "\n"
-    v2 = archive.arc_version_block(2, "20000101000000", "f") + "\n" + archive.arc_record(2, "http://a/", "1.2.3.4", "2001", "text/plain", "raw", 9, "f") + "\n"
+    v1 = archive.arc_version_block(1, "20000101000000", "f") + "\n" + archive.arc_record(1, "http://a/b c", "1.2.3.4", "20010203040506", "text/html", "HTTP/1.0 200 OK\n\nbødy".encode(), 0, "f").decode() + "\n"
+    v2 = archive.arc_version_block(2, "20000101000000", "f") + "\n" + archive.arc_record(2, "http://a/", "1.2.3.4", "2001", "text/plain", b"raw", 9, "f").decode() + "\n"
     (f1, b1), = archive.read_arc(io.BytesIO(v1.encode()))
     (f2, b2), = archive.read_arc(io.BytesIO(v2.encode()))
     assert (f1["url"], f1["version"], archive.split_http(b1)) == ("http://a/b c", "1", ("HTTP/1.0 200 OK\n\n", "bødy".encode()))
@@ -119,6 +119,7 @@ def test_arc_versions():
 
 def test_archives(spark, pages, no_pages, monkeypatch):
     rows = [(i, f"http://h/{i % 3} x", ("same" * 400 if i % 2 else f"tiny {i % 2}") + ("é\r\n\r\nWARC/1.1" if i % 4 == 1 else "")) for i in range(20)]
+    monkeypatch.setattr(archive, "FILE_BYTES", 5000)
     rows += [(50, None, None), (51, "u", ""), (None, "u", "same" * 400), (7, "again", rows[7][2])]
     for df in (spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), no_pages):
         monkeypatch.setattr(archive, "table", lambda s, d, n, df=df: df)
@@ -140,9 +141,9 @@ def test_archives(spark, pages, no_pages, monkeypatch):
 def test_archives_keep_bytes(spark, tmp_path):
     """Heads and payloads that aren't UTF-8, and copies whose heads have no length."""
     binary = bytes(range(256)) * 8
-    blocks = [b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\nServer: caf\xe9\r\n\r\n" % i + p for i, p in enumerate((b"na\xefve \xff", binary, binary, b"\x1f\x8b\x00\r\n\r\nWARC/1.1", b""))] + [b"\x89PNG\r\n\xff"]
+    blocks = [b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\nServer: caf\xe9\r\n\r\n" % i + p for i, p in enumerate((b"na\xefve \xff", binary, binary, b"\x1f\x8b\x00\r\n\r\nWARC/1.1", b""))] + [b"\x89PNG\r\n\xff", b"\x89PNG\r\n\xff"]
     raw = archive.arc_version_block(1, "20000101000000", "f").encode() + b"\n"
-    raw += b"".join(b"http://a/\xe9%d 1.2.3.4 20010203040506 text/html %d\n%s\n" % (i, len(b), b) for i, b in enumerate(blocks))
+    raw += b"".join(b"http://a/\xe9%d 1.2.3.4 20010203040506 text/html %d\n%s\n" % (min(i, 5), len(b), b) for i, b in enumerate(blocks))
     (tmp_path / "f.arc").write_bytes(raw)
     archive.convert(archive._files(spark, str(tmp_path / "f.arc")), str(tmp_path / "warc"))
     files = archive._files(spark, str(tmp_path / "warc"))
@@ -150,10 +151,11 @@ def test_archives_keep_bytes(spark, tmp_path):
     payloads = [b.split(b"\r\n\r\n", 1)[1] for b in blocks[:5]]
     kinds = ["response", "revisit", "response", "response", "response"]
     want = Counter((i, len(p), hashlib.sha1(p).hexdigest(), k) for i, (p, k) in enumerate(zip(payloads, kinds, strict=True)))
-    want[None, len(blocks[5]), hashlib.sha1(blocks[5]).hexdigest(), "resource"] += 1
+    want[None, len(blocks[5]), hashlib.sha1(blocks[5]).hexdigest(), "resource"] += 2
     assert got == want
     records = [r for f in files.collect() for r in archive.read_warc(archive._stream(bytes(f.content))) if r[0]["warc-type"] != "warcinfo"]
     assert Counter(b for _, b in records) == Counter([blocks[0], blocks[1].removesuffix(binary), *blocks[2:]])
+    assert len({f["warc-record-id"] for f, _ in records}) == len(records)  # also of records without an id, of one URL and date
     assert {f["warc-target-uri"] for f, _ in records} == {f"http://a/%E9{i}" for i in range(6)}
 
 
@@ -180,7 +182,45 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(none, none).count() == 0 and topk.top_k(q, none).count() == 0
 
 
-def test_too_large_components_are_an_error(spark):
-    df = spark.createDataFrame([(i, [1e12, 1e12]) for i in range(3)], "vec_id long, vector array<double>")
-    with pytest.raises(Exception, match="too large"):
-        topk.top_k(df, df).collect()
+def test_large_components_stay_exact(spark):
+    """Sums beyond what doubles hold, and products beyond 64 bits whose sums are within."""
+    rng = random.Random(5)
+    for size, rows in ((2**29, 60), (2**40, 40)):
+        vectors = [[rng.randrange(-size, size) for _ in range(20)] for _ in range(rows)]
+        if size > 2**30:
+            vectors = [[float(x) for y in v[:10] for x in (y, -y)] for v in vectors]  # halves that nearly cancel
+            vectors = [[v[0] + 1, *v[1:]] if i % 2 else [abs(x) // 2**20 for x in v] for i, v in enumerate(vectors)]
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, vector array<double>").repartition(4)
+        small = [i for i in range(rows) if size < 2**30 or i % 2 == 0]
+        got = {}
+        for r in topk.top_k(df.where(df.vec_id.isin(small[:5])), df.where(df.vec_id.isin(small)), 3).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in small[:5]:
+            want = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[q], vectors[j], strict=True)), j) for j in small if j != q)[:3]
+            assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(want)]
+    huge = spark.createDataFrame([(i, [2.0**70, 1.0]) for i in range(3)], "vec_id long, vector array<double>")
+    with pytest.raises(Exception, match="too large for a 64-bit integer"):
+        topk.top_k(huge, huge).collect()
+    apart = spark.createDataFrame([(0, [2.0**70, 1.0]), (1, [0.0, 3.0]), (2, [0.0, 5.0])], "vec_id long, vector array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(apart.where("vec_id = 0"), apart, 2).orderBy("rank").collect()] == [(2, 5), (1, 3)]
+
+
+def test_known_scores_only_prune():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.floor(rng.normal(0, 300, (3000, 48)))
+    queries = topk.Block.of(np.arange(0, 60), x[:60])
+    known, found = {}, {}
+    for lo in range(0, 3000, 500):
+        for q, c, s in topk.search_block(queries, topk.Block.of(np.arange(lo, lo + 500), x[lo : lo + 500]), 5, known):
+            found.setdefault(q, []).append((-s, c))
+    for q in range(60):
+        s = x @ x[q]
+        assert sorted(found[q])[:5] == sorted((-int(s[j]), j) for j in range(3000) if j != q)[:5]
+
+
+def test_top_k_keeps_to_its_columns(spark):
+    """Columns of the operator's own names in the tables don't disturb it."""
+    df = spark.createDataFrame([(i, [float(i), 1.0], i, b"x", 7, 8) for i in range(60)], "vec_id long, vector array<double>, dim int, q_ids binary, score long, rank int")
+    assert topk.top_k(df.where("vec_id = 50"), df, 2).collect() == topk.top_k(df.where("vec_id = 50").select("vec_id", "vector"), df.select("vec_id", "vector"), 2).collect()
