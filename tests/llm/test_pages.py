@@ -80,6 +80,29 @@ def test_near_copies_count_once(spark):
     assert all("was copied.\nAnd its second" in by[100 + i] and "Menu" not in by[100 + i] for i in range(6)) and all("Menu" not in by[i] for i in range(30))
 
 
+def test_templates_by_hand(spark):
+    """The subtrees that Spark counts are those of a count by hand, host by host, over pages that differ."""
+    from skarn.llm.common import Scratch
+
+    rng = random.Random(7)
+    parts = ["<div>Menu</div>", "<div><p>Box</p><p>of links</p></div>", "<section>News</section>", "<div>Imprint <b>now</b></div>"]
+    rows = []
+    for i in range(90):
+        body = "".join(rng.sample(parts, rng.randint(0, 4))) + f"<article><p>Text of page {i}, which is its own and longer than others.</p><p>{rng.choice(['Common passage', f'More {i}'])}</p></article>"
+        rows.append((i, f"http://h{i % 4}.example/{i}", f"<body>{body}</body>"))
+    rows += [(100, "http://one.example/", rows[0][2]), (101, rows[0][1], rows[0][2])]
+    want = {}
+    for host in {html.host_of(u) for _, u, _ in rows}:
+        own = [(i, *html.candidates(html.parse(t))) for i, u, t in rows if html.host_of(u) == host]
+        different = {t: i for i, u, t in rows if html.host_of(u) == host}
+        if len(different) >= 3:
+            n = Counter(h for i, found, _ in own if i in different.values() for h in found)
+            for i, found, _ in own:
+                want[i] = {h - (1 << 63) for h in found if n[h] >= 3 and n[h] >= 0.02 * len(different)}
+    got = html.site_templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), Scratch(spark, "t"))
+    assert {r.page_id: set(r.templates) for r in got.collect()} == want and sum(map(bool, want.values())) > 60 and 100 not in want
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
