@@ -480,7 +480,7 @@ def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape()) -> tuple[Mo
     if not 2 <= shape.classes <= 256:
         raise ValueError("there can be 2 to 256 classes")
     spark, k = scratch.spark, shape.classes
-    counts = scratch.write(word_counts(docs, shape), "words", "lz4_raw")
+    counts = scratch.write(word_counts(docs, shape), "words", "snappy")
     core, core_ending, core_n = core_words(counts, shape.core)
     texts = scratch.write(numbered(docs, core, shape), "numbers")
     tasks = texts.rdd.getNumPartitions()
@@ -492,7 +492,7 @@ def train(docs: DataFrame, scratch: Scratch, shape: Shape = Shape()) -> tuple[Mo
         of_core, _ = move_core(texts, scratch, of_core, of_ending, k, tasks, f"core{i}")
     own = texts.select("ids", "endings", "held_out")
     pair = class_counts(own, of_core, of_ending, k)
-    rare = scratch.write(rare_classes(texts, of_core, of_ending, pair, shape, shuffle_partitions(spark)), "rare", "lz4_raw")
+    rare = scratch.write(rare_classes(texts, of_core, of_ending, pair, shape, shuffle_partitions(spark)), "rare", "snappy")
 
     mass, unknown = np.zeros(k), np.full(k, ADD)
     np.add.at(mass, of_core[1:], core_n + ADD)

@@ -209,7 +209,7 @@ class LineIndex:
         if self.refs:
             new = new.join(self.references().select("doc").distinct(), "doc", "left_anti").select("hi", "lo", "doc")
         self.version += 1
-        new = self.scratch.write(new.distinct(), f"refs{self.version}", "lz4_raw")
+        new = self.scratch.write(new.distinct(), f"refs{self.version}", "snappy")
         self.refs.append((self.version, new))
         self._count(new, 1)
 
@@ -217,13 +217,13 @@ class LineIndex:
         """Takes the references of the documents with these ids (column doc_id) away."""
         self.version += 1
         gone = self.scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc")).where("doc is not null").distinct(), f"gone{self.version}")
-        lost = self.scratch.write(self.references().join(gone, "doc", "left_semi").select("hi", "lo", "doc"), f"lost{self.version}", "lz4_raw")
+        lost = self.scratch.write(self.references().join(gone, "doc", "left_semi").select("hi", "lo", "doc"), f"lost{self.version}", "snappy")
         self.gone.append((self.version, gone))
         self._count(lost, -1)
 
     def _count(self, refs: DataFrame, sign: int) -> None:
         """Adds a change to the counts, and its keys that cross the threshold to the filters, or takes them out."""
-        change = self.scratch.write(refs.groupBy("hi", "lo").agg((F.count("*") * sign).alias("n")), f"sums{self.version}", "lz4_raw")
+        change = self.scratch.write(refs.groupBy("hi", "lo").agg((F.count("*") * sign).alias("n")), f"sums{self.version}", "snappy")
         first = not self.sums
         if first:
             crossed = change.where(F.col("n") >= self.min_docs)
@@ -231,7 +231,7 @@ class LineIndex:
             before = change.join(self.all_counts(), ["hi", "lo"], "left").select("hi", "lo", "n", F.coalesce("n_docs", F.lit(0)).alias("was"))
             now = F.col("was") + F.col("n")
             crossed = before.where((F.col("was") < self.min_docs) & (now >= self.min_docs) if sign > 0 else (F.col("was") >= self.min_docs) & (now < self.min_docs))
-        crossed = self.scratch.write(crossed.select("hi", "lo"), f"crossed{self.version}", "lz4_raw")
+        crossed = self.scratch.write(crossed.select("hi", "lo"), f"crossed{self.version}", "snappy")
         self.sums.append(change)
         keys = crossed.count()
         have = self.counts().count() if keys and not first else keys
@@ -247,7 +247,7 @@ class LineIndex:
     def _sum_up(self) -> None:
         old = [t for _, t in self.refs] + self.sums + [t for _, t in self.gone]
         v = self.version
-        self.refs, self.sums = [(v, self.scratch.write(self.references(), f"refs{v}s", "lz4_raw"))], [self.scratch.write(self.all_counts().withColumnRenamed("n_docs", "n"), f"sums{v}s", "lz4_raw")]
+        self.refs, self.sums = [(v, self.scratch.write(self.references(), f"refs{v}s", "snappy"))], [self.scratch.write(self.all_counts().withColumnRenamed("n_docs", "n"), f"sums{v}s", "snappy")]
         self.gone = []
         for t in old:
             self.scratch.drop_table(t)
@@ -366,7 +366,7 @@ class LineIndex:
 
     def doomed(self) -> DataFrame:
         """(doc, keys): for each document that loses lines, the keys of those lines: frequent ones, but where it is the largest document that holds them."""
-        passed = self.scratch.write(self.passed(), f"passed{self.version}", "lz4_raw")
+        passed = self.scratch.write(self.passed(), f"passed{self.version}", "snappy")
         keeper = passed.groupBy("hi", "lo").agg(F.max("doc").alias("keeper")).join(self.counts(), ["hi", "lo"]).select("hi", "lo", "keeper")
         sure = passed.join(keeper, ["hi", "lo"]).where(F.col("doc") < F.col("keeper"))
         return sure.groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("keys"))

@@ -194,10 +194,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     m = safe_overlap(K, percent)
     low = m / K
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
-    every = scratch.write(sketches(own, size), "sketches", "lz4_raw")
+    every = scratch.write(sketches(own, size), "sketches", "snappy")
     usable = every.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     reps = usable.groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.min_by("sketch", "doc").alias("sketch"))
-    reps = scratch.write(reps, "classes", "lz4_raw")
+    reps = scratch.write(reps, "classes", "snappy")
 
     values = reps.select("rep", "n", F.size("sketch").alias("c"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -210,10 +210,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         .select("rep", "n", "central", F.explode(F.slice("o", 1, F.col("take").cast("int"))).alias("x"))
         .select("rep", "n", "central", F.col("x.v").alias("v"))
     )
-    listed = scratch.write(listed, "listed", "lz4_raw")
+    listed = scratch.write(listed, "listed", "snappy")
 
     def full_sets(ids: DataFrame, name: str) -> DataFrame:
-        return scratch.write(_full_sets(own.join(ids, "doc", "left_semi"), size), name, "lz4_raw")
+        return scratch.write(_full_sets(own.join(ids, "doc", "left_semi"), size), name, "snappy")
 
     def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b), those whose full sets are close enough."""
@@ -225,7 +225,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     sk = reps.select("rep", "sketch")
     centres = listed.groupBy("v").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("a"), F.count("*").alias("s")).where("s > 1").select("v", "a")
-    met = scratch.write(listed.join(centres, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "met", "lz4_raw")
+    met = scratch.write(listed.join(centres, "v").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "met", "snappy")
     stars = met.join(sk.toDF("b", "sb"), "b").join(sk.toDF("a", "sa"), "a").where(_close(F.col("sa"), F.col("sb"), low)).select("a", "b")
     stars = scratch.write(stars, "star_pairs")
     ids = stars.select(F.col("a").alias("doc")).union(stars.select("b")).distinct()
@@ -237,14 +237,14 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     group = met.toDF("g", "rep").union(met.select("a", "a").distinct())
     group = group.join(comp.toDF("rep", "root"), "rep", "left").select("g", "rep", F.coalesce("root", "rep").alias("root"))
     apart = lambda df: df.join(df.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g"), "g")
-    open_ = scratch.write(apart(scratch.write(group, "groups", "lz4_raw")), "open", "lz4_raw")
+    open_ = scratch.write(apart(scratch.write(group, "groups", "snappy")), "open", "snappy")
     # a hash that only one open set has is in no overlap between them: this bounds overlaps before any pair is formed
     sets = full_sets(open_.select(F.col("rep").alias("doc")).distinct(), "open_sets")
     alone = sets.select("doc", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("s"), F.min("doc").alias("rep")).where("s = 1")
     alone = alone.groupBy("rep").agg(F.count("*").alias("u"))
     sized = sets.select(F.col("doc").alias("rep"), F.size("hashes").alias("n"))
     able = sized.join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("u", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
-    able = scratch.write(apart(scratch.write(open_.join(able.drop("u"), "rep"), "bounded", "lz4_raw")), "able", "lz4_raw")
+    able = scratch.write(apart(scratch.write(open_.join(able.drop("u"), "rep"), "bounded", "snappy")), "able", "snappy")
     # members of a group's largest component aren't compared with each other; the others must have room for a link within the group's bounds
     big = able.groupBy("g", "root").agg(F.count("*").alias("s")).groupBy("g").agg(F.max_by("root", F.struct("s", "root")).alias("big"))
     bounds = able.groupBy("g").agg(F.max("most").alias("m1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
@@ -253,7 +253,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         & ((100 + percent) * F.least("most", "m1") >= percent * (F.col("n") + F.col("n0")))
         & (100 * F.least("n", "n1") >= percent * F.greatest("n", "n0"))
     )
-    asked = scratch.write(asked.select("g", "rep", "root", "n"), "asked", "lz4_raw")
+    asked = scratch.write(asked.select("g", "rep", "root", "n"), "asked", "snappy")
     blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.sum("n") / GRID).alias(name))
     grid = scratch.write(blocks(asked, "nx").join(blocks(able, "ny"), "g"), "grid")
     laid = lambda df: df.select("g", "rep", "root").join(grid, "g")

@@ -148,8 +148,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """
     scratch = Scratch(queries.sparkSession, "topk")
     some = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where("vec_id is not null and vector is not null")
-    q = scratch.write(_pack(some(queries), QUERIES, "q"), "queries", "lz4_raw")
-    c = scratch.write(_pack(some(candidates), CANDIDATES, "c"), "candidates", "lz4_raw")
+    q = scratch.write(_pack(some(queries), QUERIES, "q"), "queries", "snappy")
+    c = scratch.write(_pack(some(candidates), CANDIDATES, "c"), "candidates", "snappy")
     # a grid of cells: a block goes to the cells of its own row or column, so no task meets all blocks
     side = max(1, round(shuffle_partitions(queries.sparkSession) ** 0.5))
     own, every = (lambda ids: F.pmod(F.xxhash64(ids), F.lit(side)).cast("int")), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
