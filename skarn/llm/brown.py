@@ -10,8 +10,9 @@ of all others are units of a matrix of fixed size, in which units move one at a
 to the class that raises the likelihood most. Then all core words move, at the same
 time, by the same gain, from counts of the classes next to each; twice. Last, each word
 outside the core moves by the classes next to it, its gain taken to first order, as
-its few occurrences hardly change a class's counts. Only words that training never
-saw have the class of their hashed ending.
+its few occurrences hardly change a class's counts, if that is more than chance would
+give a word of one or two occurrences. Words that training never saw have the class of
+their hashed ending.
 
 Counts of fixed size are summed in each task and merged block by block in a tree of
 tasks; what grows with the vocabulary is a table that meets the texts in a join. A
@@ -42,7 +43,7 @@ ADD = 0.1
 
 @dataclass(frozen=True)
 class Shape:
-    """Units for frequent words, units for endings, classes (256 at most), the backing-off weight, passes of the exchange of units and of core words, the core's size, and from how many occurrences on a word outside the core has a class of its own."""
+    """Units for frequent words, units for endings, classes (256 at most), the backing-off weight, passes of the exchange of units and of core words, the core's size, and by how much (in nats) its contexts must speak for another class before a word outside the core leaves that of its ending."""
 
     words: int = 3072
     endings: int = 1023
@@ -51,7 +52,7 @@ class Shape:
     passes: int = 8
     core: int = 1 << 17
     core_passes: int = 2
-    least: int = 1
+    proof: float = 3.0
 
     @property
     def units(self) -> int:
@@ -447,7 +448,8 @@ def rare_classes(texts: DataFrame, of_core: np.ndarray, of_ending: np.ndarray, p
             n = before.sum(1)
             gain = before @ gain_before + after @ gain_after - n[:, None] * gain_each
             gain[:, END] = -np.inf
-            best = np.where(n >= shape.least, gain.argmax(1), start)
+            best, each = gain.argmax(1), np.arange(len(n))
+            best = np.where(gain[each, best] > gain[each, start] + shape.proof, best, start)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64)), pa.array(best.astype(np.int32))], names=["h", "c", "of"])
 
         for batch in slices(batches, 4096):  # sorted by h

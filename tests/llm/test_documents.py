@@ -554,8 +554,8 @@ def test_words_outside_the_units_move_to_their_class(spark):
     rows = [(i, " ".join(rng.choice(kinds[j % 2][: 20 if rng.random() < 0.5 else 120]) for j in range(60)), i % 10 == 0) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
     found = []
-    for core, least in ((40, 1), (1 << 17, 1), (40, 1 << 40)):  # moved from their contexts, in the core, and by their endings alone
-        shape = brown.Shape(words=40, endings=7, classes=3, core=core, least=least)
+    for core, proof in ((40, 3.0), (1 << 17, 3.0), (40, 1e9)):  # moved from their contexts, in the core, and by their endings alone
+        shape = brown.Shape(words=40, endings=7, classes=3, core=core, proof=proof)
         m, words = brown.train(docs, Scratch(spark, "t"), shape)
         of = {r.h: r.of for r in words.collect()}
         by = [Counter(of[brown.word_hash(w.encode())] for w in g) for g in kinds]
