@@ -52,11 +52,6 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop_table(self, df: DataFrame) -> None:
-        """Deletes a table by what ``write`` returned."""
-        for name in {f.rsplit("/", 2)[-2] for f in df.inputFiles()}:
-            self.drop(name)
-
     def drop(self, name: str = "") -> None:
         """Deletes one table, or all of them; a session that has ended is no error."""
         if self.spark.sparkContext._jsc is None:

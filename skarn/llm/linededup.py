@@ -178,10 +178,15 @@ class LineIndex:
         self.refs: list[tuple[int, DataFrame]] = []  # (version, table of hi, lo, doc)
         self.sums: list[DataFrame] = []  # (hi, lo, n): documents that came and went
         self.gone: list[tuple[int, DataFrame]] = []  # (version, documents taken away)
+        self.written: list[str] = []  # the tables that go when they are summed up
         self.shards, self.filters = 1, spark.createDataFrame([], FILTERS)
 
     # tables
 
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.append(name)
+        return self.scratch.write(df, name, "snappy")
+
     def references(self) -> DataFrame:
         """(hi, lo, doc) of the documents that are in the index."""
         rows = self.spark.createDataFrame([], f"{KEYS}, doc long, v int")
@@ -209,21 +214,21 @@ class LineIndex:
         if self.refs:
             new = new.join(self.references().select("doc").distinct(), "doc", "left_anti").select("hi", "lo", "doc")
         self.version += 1
-        new = self.scratch.write(new.distinct(), f"refs{self.version}", "snappy")
+        new = self._write(new.distinct(), f"refs{self.version}")
         self.refs.append((self.version, new))
         self._count(new, 1)
 
     def delete(self, docs: DataFrame) -> None:
         """Takes the references of the documents with these ids (column doc_id) away."""
         self.version += 1
-        gone = self.scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc")).where("doc is not null").distinct(), f"gone{self.version}")
-        lost = self.scratch.write(self.references().join(gone, "doc", "left_semi").select("hi", "lo", "doc"), f"lost{self.version}", "snappy")
+        gone = self._write(docs.select(F.col("doc_id").cast("long").alias("doc")).where("doc is not null").distinct(), f"gone{self.version}")
+        lost = self._write(self.references().join(gone, "doc", "left_semi").select("hi", "lo", "doc"), f"lost{self.version}")
         self.gone.append((self.version, gone))
         self._count(lost, -1)
 
     def _count(self, refs: DataFrame, sign: int) -> None:
         """Adds a change to the counts, and its keys that cross the threshold to the filters, or takes them out."""
-        change = self.scratch.write(refs.groupBy("hi", "lo").agg((F.count("*") * sign).alias("n")), f"sums{self.version}", "snappy")
+        change = self._write(refs.groupBy("hi", "lo").agg((F.count("*") * sign).alias("n")), f"sums{self.version}")
         first = not self.sums
         if first:
             crossed = change.where(F.col("n") >= self.min_docs)
@@ -231,7 +236,7 @@ class LineIndex:
             before = change.join(self.all_counts(), ["hi", "lo"], "left").select("hi", "lo", "n", F.coalesce("n_docs", F.lit(0)).alias("was"))
             now = F.col("was") + F.col("n")
             crossed = before.where((F.col("was") < self.min_docs) & (now >= self.min_docs) if sign > 0 else (F.col("was") >= self.min_docs) & (now < self.min_docs))
-        crossed = self.scratch.write(crossed.select("hi", "lo"), f"crossed{self.version}", "snappy")
+        crossed = self._write(crossed.select("hi", "lo"), f"crossed{self.version}")
         self.sums.append(change)
         keys = crossed.count()
         have = self.counts().count() if keys and not first else keys
@@ -245,12 +250,12 @@ class LineIndex:
             self._sum_up()
 
     def _sum_up(self) -> None:
-        old = [t for _, t in self.refs] + self.sums + [t for _, t in self.gone]
-        v = self.version
-        self.refs, self.sums = [(v, self.scratch.write(self.references(), f"refs{v}s", "snappy"))], [self.scratch.write(self.all_counts().withColumnRenamed("n_docs", "n"), f"sums{v}s", "snappy")]
+        v, old = self.version, self.written
+        self.written = []
+        self.refs, self.sums = [(v, self._write(self.references(), f"refs{v}s"))], [self._write(self.all_counts().withColumnRenamed("n_docs", "n"), f"sums{v}s")]
         self.gone = []
-        for t in old:
-            self.scratch.drop_table(t)
+        for name in old:
+            self.scratch.drop(name)
 
     # filters
 
