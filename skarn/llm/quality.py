@@ -27,7 +27,7 @@ WINDOW = 5
 BROADCAST_ROWS = 50_000
 #: Steps of a quantile's bins: of medians and deviations, and a doubling of a distance.
 FINE, PER_DOUBLING = 4096, 64
-#: Change of a determinant's logarithm below which an estimate has settled.
+#: Fall of a determinant's logarithm below which an estimate has settled.
 SETTLED = 1e-4
 STARTS = ("deviations", "tanh", "signs")
 
@@ -196,8 +196,8 @@ def mcd_distance(
 
     From each of three starts, a concentration step keeps the rows whose distance is
     at most the group's ``share`` quantile (in bins of 1/64 of a doubling) and
-    re-estimates mean and covariance from them, until the logarithm of the determinant
-    changes by less than 1e-4 (at most ``max_steps`` times). A group's estimate is that of the smallest determinant,
+    re-estimates mean and covariance from them, until that no longer lowers the
+    determinant's logarithm by 1e-4 (at most ``max_steps`` times). A group's estimate is that of the smallest determinant,
     re-estimated once from all rows within the chi-square quantile 0.975. The square
     of a statistic's floor is added to its variance in every estimate, so a
     statistic that doesn't vary has one.
@@ -218,7 +218,7 @@ def mcd_distance(
         cut = _small(_lowest_bin(far, keys, "bin", share), scratch, f"cut{k}")
         core = far.join(cut, keys).where(F.col("bin") <= F.col("cut"))
         new = _estimate(core, keys, xs, floors, consistency(share)).join(active.select(*keys, F.col("det").alias("was")), keys)
-        new = scratch.write(new.withColumn("settled", F.abs(F.col("det") - F.col("was")) < SETTLED).drop("was"), f"step{k}")
+        new = scratch.write(new.withColumn("settled", (F.col("det") > F.col("was") - SETTLED) & F.lit(k > 0)).drop("was"), f"step{k}")
         settled.append(new.where("settled").drop("settled"))
         rest = new.where("not settled").drop("settled")
         left = rest.count()

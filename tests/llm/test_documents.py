@@ -113,14 +113,14 @@ def mcd_by_hand(x, floors, share=0.75):
         starts.append(r * np.outer(s, s))
     best = None
     for v in starts:
-        c, det = m, np.linalg.slogdet(v)[1]
+        c, det = m, np.inf
         for _ in range(20):
             bins = np.floor(np.log2(np.clip(far(c, v), 2.0**-30, 2.0**30)) * 64)
             core = x[bins <= at(bins, share)]
             c, v = core.mean(0), np.cov(core.T, bias=True) * share / chi2_cdf(chi2_quantile(share, p), p + 2) + f2
-            if abs(np.linalg.slogdet(v)[1] - det) < 1e-4:
+            was, det = det, np.linalg.slogdet(v)[1]
+            if det > was - 1e-4:
                 break
-            det = np.linalg.slogdet(v)[1]
         if best is None or round(det, 9) < best[0]:
             best = round(det, 9), c, v
     inside = x[far(*best[1:]) <= chi2_quantile(0.975, p)]
