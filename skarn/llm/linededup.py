@@ -32,6 +32,8 @@ FOLD = bytes.maketrans(UPPER, LOWER)
 #: Lines of a shard that are probed in one place, about; filters up to this size are sent to where lines are.
 PROBED = 1_000_000
 SENT_BYTES = 32 << 20
+#: Frequent lines up to which each one's largest document is sent to where references are, 24 bytes each.
+SENT_KEYS = 500_000
 #: Changes after which the tables are summed up.
 DELTAS = 8
 
@@ -373,6 +375,9 @@ class LineIndex:
         """(doc, keys): for each document that loses lines, the keys of those lines: frequent ones, but where it is the largest document that holds them."""
         passed = self.scratch.write(self.passed(), f"passed{self.version}", "snappy")
         keeper = passed.groupBy("hi", "lo").agg(F.max("doc").alias("keeper")).join(self.counts(), ["hi", "lo"]).select("hi", "lo", "keeper")
+        keeper = self.scratch.write(keeper, f"keepers{self.version}", "snappy")
+        if keeper.count() <= SENT_KEYS:  # else a line that very many documents hold is a key that the join splits
+            keeper = F.broadcast(keeper)
         sure = passed.join(keeper, ["hi", "lo"]).where(F.col("doc") < F.col("keeper"))
         return sure.groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("keys"))
 
