@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 #: A name, a literal or a lambda's variable: may stand in a text more than once.
 SIMPLE = re.compile(r"(?:[\w$]+|`[^`]*`)(?:\.(?:[\w$]+|`[^`]*`))*|'(?:[^'\\]|\\.)*'|-?\d+(?:\.\d*)?", re.S)
+#: Those of them that are no date.
+LITERAL = re.compile(r"'(?:[^'\\]|\\.)*'|-?\d+(?:\.\d*)?|NULL|TRUE|FALSE", re.S | re.I)
 
 
 def bound(make: Callable[..., str], *args: str) -> str:
@@ -23,11 +25,22 @@ def bound(make: Callable[..., str], *args: str) -> str:
     return f"transform(array(named_struct({fields})), v_ -> {make(*shown)})[0]"
 
 
+def unsigned(text: str) -> str:
+    """The text of a date or timestamp without the plus sign that Spark puts before years after 9999."""
+    return f"trim(LEADING '+' FROM {text})"
+
+
+def text_of(x: str, cast: str = "CAST") -> str:
+    """A cast to text; ``x`` is a name or literal. Its type is known when the plan is made, and one branch remains."""
+    out = f"{cast}({x} AS STRING)"
+    return out if LITERAL.fullmatch(x) else f"CASE WHEN typeof({x}) IN ('date', 'timestamp', 'timestamp_ntz') THEN {unsigned(out)} ELSE {out} END"
+
+
 def concat(*a: str) -> str:
     """Skips nulls; null if all are."""
 
     def make(*a: str) -> str:
-        cast = [f"CAST({x} AS STRING)" for x in a]
+        cast = [text_of(x) for x in a]
         return f"CASE WHEN coalesce({', '.join(cast)}) IS NULL THEN NULL ELSE concat_ws('', {', '.join(cast)}) END"
 
     return bound(make, *a)

@@ -81,6 +81,25 @@ def test_invalid_casts_and_division(spark, harbour):
     assert rows(e.sql("SELECT 7 / 0 AS a, 7 % 0 AS b, 7 / 2 AS c")) == [(None, None, 3.5)]
 
 
+def test_years_after_9999_have_no_sign_in_text(spark, harbour):
+    e = Engine(spark, harbour)
+    far = "(SELECT CAST(777600000001500 AS TIMESTAMP) AS t, CAST(777600000001500 AS DATE) AS d, '+7' AS s, -7 AS n)"
+    q = f"SELECT CAST(t AS STRING) AS a, CAST(t + INTERVAL '1' DAY AS VARCHAR(11)) AS b, CAST(d AS TEXT) AS c, CONVERT(d, VARCHAR) AS e, CONCAT(s, d, n) AS f, CAST(s AS VARCHAR) AS g, CAST(n AS VARCHAR) AS h FROM {far}"
+    assert rows(e.sql(q)) == [("26611-03-02 00:00:01.5", "26611-03-03", "26611-03-02", "26611-03-02", "+726611-03-02-7", "+7", "-7")]
+    assert rows(e.sql(f"SELECT CAST(CAST(t AS STRING) AS TIMESTAMP) = t AS a, CAST(CAST(d AS STRING) AS DATE) = d AS b FROM {far}")) == [(True, True)]
+    assert rows(e.sql("SELECT CAST(CAST(253402300799500 AS TIMESTAMP) AS STRING) AS a, CAST(CAST(253402300800500 AS TIMESTAMP) AS STRING) AS b")) == [("9999-12-31 23:59:59.5", "10000-01-01 00:00:00.5")]
+
+
+def test_casts_to_text_of_parameters_subqueries_and_columns(spark, harbour):
+    e = Engine(spark, harbour)
+    assert rows(e.sql("SELECT CAST(? AS VARCHAR) AS a, CAST(? + 1 AS VARCHAR) AS b", ["+x", 4])) == [("+x", "5")]
+    assert rows(e.sql("SELECT CAST((SELECT MAX(id) FROM departments) AS VARCHAR) AS a, CAST(SUM(id) OVER () AS VARCHAR) AS b FROM employees LIMIT 1")) == [("3", "15")]
+    q = "SELECT DISTINCT CAST(e.id AS VARCHAR) FROM employees e UNION SELECT CONVERT(id, VARCHAR) FROM departments"
+    assert rows(e.sql(f"SELECT id FROM ({q}) AS q WHERE id = '5'")) == [("5",)]
+    plan = e.sql("SELECT CAST(id + 1 AS VARCHAR) AS a FROM employees")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "typeof" not in plan and "ltrim" not in plan
+
+
 def test_plans_send_no_table_to_every_executor(spark):
     """Quantified comparisons are no nested loops, NOT IN is no broadcast of the subquery."""
     from skarn.plans import QUERIES

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from skarn.plans import ORACLE_SQL, QUERIES
@@ -29,6 +30,16 @@ def test_bernoulli_is_repeatable_and_near_its_share(spark):
     assert n == q(spark, DATA).count() and 400 < n < 800
 
 
+def test_epoch_millis_of_far_keys(spark, tmp_path):
+    """Keys of larger tables are days after the year 9999, which Python's dates can't hold: read by DuckDB."""
+    spark.createDataFrame([(0,), (2932896,), (2932897,), (8999999,)], "o_orderkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    QUERIES["d12_epoch_millis"](spark, str(tmp_path)).write.parquet(str(tmp_path / "got"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    shown = "SELECT o_orderkey, CAST(d AS VARCHAR) AS d, t FROM "
+    assert duck_rows(con, f"{shown} read_parquet('{tmp_path}/got/*.parquet')") == duck_rows(con, f"{shown} ({ORACLE_SQL['d12_epoch_millis']})")
+
+
 def test_entry(spark):
     import __spark_entry__
 
